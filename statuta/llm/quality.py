@@ -96,8 +96,8 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     base = base.withColumn("bare", bare)
     b = F.col("bare")
     stop = F.array(*[F.lit(x) for x in dict.fromkeys(STOP_WORDS)])
-    return base.select(
-        "doc_id",
+    # inline() keeps a later filter on the counts from being pushed below, where it would compute them again.
+    counts = F.struct(
         "n_words",
         "word_chars",
         "n_symbols",
@@ -107,6 +107,7 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         F.size(F.filter(b, lambda x: x.isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
         F.size(F.filter(b, lambda x, i: (i > 0) & (x == F.get(b, i - 1)))).cast("long").alias("n_stutters"),
     )
+    return base.select("doc_id", F.inline(F.array(counts)))
 
 
 def ratio(part: str, whole: str) -> Column:
