@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +31,10 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def hash_partitions(df: DataFrame) -> int:
     """How many partitions this session gives a shuffle."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batches: Iterable[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Arrow batches in parts of fewer rows, so what a task makes of them stays small."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm.common import pick
+from statuta.llm.common import pick, slices
 from statuta.session import table
 
 MARK = "▁"
@@ -180,7 +180,7 @@ def encode_pieces(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(model or default_model())
-        for pdf in batches:
+        for pdf in slices(batches):
             rows: dict[str, list] = {name: [] for name in outputs}
             for t in pdf["text"]:
                 ids, decoded, begins, ends = pieces.encode(t)

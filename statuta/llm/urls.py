@@ -81,7 +81,7 @@ def filter_urls(
     else:
         times = keyed.select("pattern", "fetched_at").where("pattern is not null and fetched_at is not null").distinct()
         salted = times.withColumn("salt", F.pmod(F.xxhash64("fetched_at"), F.lit(SALTS)))
-        spread = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = spans.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         active = salted.join(spread, ["pattern", "salt"]).filter(inside("fetched_at", "fetched_at")).select("pattern", "fetched_at", "action")
         urls = base.select("url", "fetched_at").distinct().withColumn("pattern", F.explode(candidates(F.col("url"))))
         best = urls.join(active, ["pattern", "fetched_at"]).groupBy("url", "fetched_at").agg(
