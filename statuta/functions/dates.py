@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ANY_DATE = r"(\d{4})\s*(?:[.\-/]|년)\s*(\d{1,2})\s*(?:[.\-/]|월)\s*(\d{1,2})"
+PLAIN_DATE = r"\d{4}\s*(?:[.\-/]|년)\s*\d{1,2}\s*(?:[.\-/]|월)\s*\d{1,2}"
 
 
 def date_of(year: Column, month: Column, day: Column) -> Column:
-    return F.expr("try_to_date('')") if year is None else F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+    return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
 
 
 def all_dates(text: Column) -> Column:
@@ -38,8 +39,8 @@ def filename_dates(name: Column) -> Column:
 
 def effective_date(text: Column) -> Column:
     """The date before '부터 시행', else the one after '시행'; the sentinel promulgation_date for '공포한 날부터 시행'."""
-    before = first_date(F.regexp_extract(text, ANY_DATE.replace("(", "(?:", 3) + r"\s*일?\.?\s*부터\s*시행", 0))
-    after = first_date(F.regexp_extract(text, r"시행\s*(?:일)?\s*[:：]?\s*" + ANY_DATE.replace("(", "(?:", 3), 0))
+    before = first_date(F.regexp_extract(text, PLAIN_DATE + r"\s*일?\.?\s*부터\s*시행", 0))
+    after = first_date(F.regexp_extract(text, r"시행\s*(?:일)?\s*[:：]?\s*" + PLAIN_DATE, 0))
     promulgated = F.when(text.rlike(r"공포한\s*날부터\s*시행"), F.lit("promulgation_date"))
     return F.coalesce(before.cast("string"), after.cast("string"), promulgated)
 
@@ -59,7 +60,7 @@ def version_key(version: Column) -> Column:
 
 def article_overrides(text: Column) -> Column:
     """(article, date) of '제N조의 개정규정은 <date>부터 시행'."""
-    pattern = r"(제\s*\d+\s*조(?:\s*의\s*\d+)?)\s*의?\s*개정\s*규정\s*은\s*" + ANY_DATE.replace("(", "(?:", 3) + r"\s*[.일]?\s*부터\s*시행"
+    pattern = r"(제\s*\d+\s*조(?:\s*의\s*\d+)?)\s*의?\s*개정\s*규정\s*은\s*" + PLAIN_DATE + r"\s*[.일]?\s*부터\s*시행"
     whole = F.regexp_extract_all(text, F.lit(pattern), 0)
     return F.transform(whole, lambda x: F.struct(F.regexp_replace(F.regexp_extract(x, pattern, 1), r"\s+", "").alias("article"), first_date(F.regexp_replace(x, r"^제\s*\d+\s*조", "")).alias("effective")))
 

@@ -19,7 +19,7 @@ LINE_CLASSES = [
     ("subsection", 4, r"^\s*(제\s*\d+\s*관)\s+(.+)$"),
     ("article", 5, r"^\s*(제\s*\d+\s*조(?:의\s*\d+)?)\s*(.*)$"),
     ("paragraph", 6, r"^\s*([①-⑳]|\(\d+\)|제\s*\d+\s*항)\s*(.*)$"),
-    ("item", 7, r"^\s*(\d+\.|\d+\)|제\s*\d+\s*호)\s*(.+)$"),
+    ("item", 7, r"^\s*(\d{1,3}\.|\d{1,3}\)|제\s*\d+\s*호)\s*(.+)$"),
     ("subitem", 8, r"^\s*([가-하][.)])\s*(.+)$"),
 ]
 

@@ -104,9 +104,9 @@ c AS (SELECT line, CASE
  WHEN regexp_matches(line, '^\s*(제\s*\d+\s*[편장절관])\s+(.+)$') THEN 'heading'
  WHEN regexp_matches(line, '^\s*(제\s*\d+\s*조(?:의\s*\d+)?)\s*(.*)$') THEN 'article'
  WHEN regexp_matches(line, '^\s*([①-⑳]|\(\d+\)|제\s*\d+\s*항)\s*(.*)$') THEN 'paragraph'
- WHEN regexp_matches(line, '^\s*(\d+\.|\d+\)|제\s*\d+\s*호)\s*(.+)$') THEN 'item'
+ WHEN regexp_matches(line, '^\s*(\d{1,3}\.|\d{1,3}\)|제\s*\d+\s*호)\s*(.+)$') THEN 'item'
  WHEN regexp_matches(line, '^\s*([가-하][.)])\s*(.+)$') THEN 'subitem' ELSE 'text' END AS node_type,
- trim(regexp_extract(line, '^\s*(\d+\.|\d+\)|제\s*\d+\s*호)\s*(.+)$', 2)) AS item_title FROM l WHERE trim(line) <> '')
+ trim(regexp_extract(line, '^\s*(\d{1,3}\.|\d{1,3}\)|제\s*\d+\s*호)\s*(.+)$', 2)) AS item_title FROM l WHERE trim(line) <> '')
 SELECT node_type, count(*)::BIGINT AS n, sum(CASE WHEN node_type = 'item' THEN length(item_title) ELSE 0 END)::BIGINT AS title_chars FROM c GROUP BY node_type"""
 
 
@@ -121,7 +121,7 @@ def structure_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 STRUCTURE_SQL = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 m AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 THEN '제' || (i // 3 + 1) || '조 ' || line ELSE line END AS line FROM l WHERE trim(line) <> ''),
-k AS (SELECT doc_id, i, line, i % 3 = 0 AS art, i % 3 = 0 OR regexp_matches(line, '^\s*(\d+\.|\d+\)|제\s*\d+\s*호)\s*(.+)$') OR regexp_matches(line, '^\s*([①-⑳]|\(\d+\))') AS head FROM m),
+k AS (SELECT doc_id, i, line, i % 3 = 0 AS art, i % 3 = 0 OR regexp_matches(line, '^\s*(\d{1,3}\.|\d{1,3}\)|제\s*\d+\s*호)\s*(.+)$') OR regexp_matches(line, '^\s*([①-⑳]|\(\d+\))') AS head FROM m),
 n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS node FROM k),
 g AS (SELECT doc_id, node, bool_or(art) AS art, min(i) AS i, string_agg(line, chr(10) ORDER BY i) AS t FROM n GROUP BY doc_id, node)
 SELECT doc_id, count(*)::BIGINT AS n_articles, max(i)::BIGINT AS last_line, max(length(t))::BIGINT AS longest FROM g WHERE art GROUP BY doc_id"""
