@@ -292,12 +292,15 @@ COST_SQL = """SELECT lang, sum(ceil(length(text) / 4))::BIGINT AS tokens, (sum(c
 
 
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source: sha256 of the sorted content hashes, whatever order they came in."""
-    hashes = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("h"))
-    return hashes.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("fingerprint"))
+    """Per source: count, sum and exclusive or of content hashes, whatever order they came in; partial sums, so no source is gathered."""
+    h = F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long")
+    rows = table(spark, sf_dir, "documents").select("source", h.alias("h"))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).cast("string").alias("total"), F.bit_xor("h").alias("mixed"))
 
 
-FINGERPRINT_SQL = """SELECT source, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source"""
+FINGERPRINT_SQL = """
+WITH h AS (SELECT source, ('0x' || substr(sha256(text), 1, 15))::UBIGINT::BIGINT AS h FROM documents)
+SELECT source, count(*)::BIGINT AS n, sum(h::HUGEINT)::VARCHAR AS total, bit_xor(h) AS mixed FROM h GROUP BY source"""
 
 
 def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +351,62 @@ def rate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RATE_SQL = """SELECT user_id, max(n)::BIGINT AS most FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY user_id"""
 
+def version_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that supersede the part of half their key (even keys; an odd older part has one successor)."""
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    edges = part.filter("p_partkey % 2 = 0 and p_partkey > 0").select(F.col("p_partkey").alias("newer"), (F.col("p_partkey") / 2).cast("long").alias("older"))
+    return graph.lineage(part, edges.join(part.withColumnRenamed("p_partkey", "older"), "older", "left_semi"), "p_partkey")
+
+
+LINEAGE_SQL = """
+WITH RECURSIVE up(p_partkey, anchor) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT p_partkey, anchor // 2 FROM up WHERE anchor % 2 = 0 AND anchor > 0 AND anchor // 2 IN (SELECT p_partkey FROM part))
+SELECT p_partkey, min(anchor) AS anchor FROM up GROUP BY p_partkey"""
+
+
+def semi_and_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with and without orders, by segment (EXISTS and NOT EXISTS)."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    have, none = c.join(o, "c_custkey", "left_semi"), c.join(o, "c_custkey", "left_anti")
+    tagged = have.withColumn("kind", F.lit("with")).unionByName(none.withColumn("kind", F.lit("without")))
+    return tagged.groupBy("kind", "c_mktsegment").agg(F.count("*").alias("n"))
+
+
+SEMI_SQL = """SELECT CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'with' ELSE 'without' END AS kind, c_mktsegment, count(*)::BIGINT AS n FROM customer GROUP BY 1, 2"""
+
+
+def key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of even and of large orders: in both, in one, in the other."""
+    lines = table(spark, sf_dir, "lineitem")
+    a, b = lines.filter("l_orderkey % 2 = 0 and l_quantity > 45").select("l_suppkey").distinct(), lines.filter("l_extendedprice > 80000").select("l_suppkey").distinct()
+    sets = {"both": a.intersect(b), "first": a.subtract(b), "second": b.subtract(a)}
+    out = None
+    for name, rows in sets.items():
+        part = rows.withColumn("kind", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+KEY_SETS_SQL = """
+WITH a AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_orderkey % 2 = 0 AND l_quantity > 45), b AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_extendedprice > 80000)
+SELECT l_suppkey, 'both' AS kind FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT l_suppkey, 'first' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT l_suppkey, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""
+
+
+def edge_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of two families with ids of their own; of one id the first family's stays."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    edge = lambda kind, rank, rows: rows.distinct().select(F.sha1(F.concat_ws("|", "l_partkey", "l_suppkey")).alias("edge_id"), F.lit(kind).alias("relation"), F.lit(rank).alias("rank"))
+    families = [edge("cites_article", 0, lines.filter("l_partkey % 3 = 0")), edge("cites_regulation", 1, lines)]
+    return graph.first_of_each(families, "edge_id", "rank").groupBy("relation").agg(F.count("*").alias("n"))
+
+
+FAMILIES_SQL = """SELECT CASE WHEN l_partkey % 3 = 0 THEN 'cites_article' ELSE 'cites_regulation' END AS relation, count(*)::BIGINT AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY 1"""
+
+
 QUERIES = {
+    "version_lineage": (version_lineage, LINEAGE_SQL),
+    "semi_and_anti": (semi_and_anti, SEMI_SQL),
+    "key_sets": (key_sets, KEY_SETS_SQL),
+    "edge_families": (edge_families, FAMILIES_SQL),
     "as_of_versions": (as_of_versions, AS_OF_SQL),
     "derived_ends": (derived_ends, ENDS_SQL),
     "current_flags": (current_flags, CURRENT_SQL),
