@@ -10,8 +10,10 @@ whole table is in it or implied by links in it.
 3. Answers of a similar set: each list compares its members with one pivot set only. Members of one component need no
    further comparison. For two members x, y of different components the pivot's distances bound theirs
    (|d(p,x) - d(p,y)| <= d(x,y), Jaccard distance being a metric), so most answers of x follow from those of p.
-4. Block skipping: what is left of a list is cut into blocks ordered by size, with their ranges of size and position;
-   pairs of blocks whose ranges rule a link out are skipped whole, the rest are filtered pair by pair and verified.
+4. Block skipping: what is left of a long list is cut into blocks ordered by size, with their ranges of size and position;
+   pairs of blocks whose ranges rule a link out are skipped whole, the rest are filtered pair by pair.
+5. A candidate pair is first bounded by sketches (how many shingles fall in each of as many cells as there are shingles: the
+   smaller of two cells bounds what they share), then what is left is verified by whole sets.
 
 No list, class or component is collected: lists are sorted runs, blocks have at most BLOCK members.
 The order of shingles changes speed only. It comes from a hash sample of documents (1 in SAMPLE), and at most HOT_SHINGLES of the
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statuta.llm.common import pick
+from statuta.llm.common import pick, slices
 from statuta.llm.components import components
 from statuta.llm.hashing import shingles
 from statuta.session import shared_folder, table, written
@@ -40,6 +42,8 @@ WIDTH = 5
 SAMPLE = 16
 HOT_SHINGLES = 1_000_000
 BLOCK = 256
+SHORT_LIST = 64
+MOST_CELLS = 4096
 BROADCAST_IDS = 2_000_000
 
 
@@ -64,23 +68,42 @@ def ordered(fps: np.ndarray, hot: np.ndarray, often: np.ndarray) -> np.ndarray:
     return fps[np.lexsort((fps, rank))]
 
 
+def sketch_of(fps: np.ndarray) -> bytes:
+    """Shingles in each cell, as bytes; a power of two of cells, about as many as shingles. 255 means 255 or more."""
+    cells = min(MOST_CELLS, 1 << max(3, int(len(fps) - 1).bit_length()))
+    return np.minimum(np.bincount((fps & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def most_common(x: bytes, y: bytes, least: int) -> int:
+    """An upper bound of the intersection of two sets by their sketches; cells of the larger one are folded."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    full = a.max() == 255 or b.max() == 255
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    if len(a) > len(b):
+        a = a.reshape(-1, len(b)).sum(axis=0)
+    elif len(b) > len(a):
+        b = b.reshape(-1, len(a)).sum(axis=0)
+    return least if full else int(np.minimum(a, b).sum())
+
+
 def scanned(base: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, digest) of every row; an empty set has a null digest."""
+    """(doc_id, n_shingles, digest, sketch) of every row; an empty set has neither digest nor sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             sets = [shingles(t, width) for t in pdf["text"]]
             digests = [digest_of(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digests})
+            sketches = [sketch_of(s) if len(s) else None for s in sets]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digests, "sketch": sketches})
 
-    return base.mapInPandas(run, "doc_id long, n_shingles long, digest binary")
+    return base.mapInPandas(run, "doc_id long, n_shingles long, digest binary, sketch binary")
 
 
 def frequent(base: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found twice or more in a sample of documents, sorted by value, with their counts; at most HOT_SHINGLES."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             sets = [shingles(t, width) for t in pdf["text"].drop_duplicates()]
             if sets:
                 fps, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -101,7 +124,7 @@ def prefixes(base: DataFrame, width: int, hot: np.ndarray, often: np.ndarray) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot, often = shared.value
         seen: set[int] = set()
-        for pdf in batches:
+        for pdf in slices(batches):
             hs, cids, sizes = [], [], []
             for t in pdf["text"]:
                 fps = shingles(t, width)
@@ -164,7 +187,7 @@ def set_rows(base: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     rows = base.alias("b").join((F.broadcast(ids) if few else ids).alias("i"), F.col("b.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             sets = [s for s in (shingles(t, width) for t in pdf["text"]) if len(s)]
             digests = [digest_of(s) for s in sets]
             yield pd.DataFrame({"cid": [class_of(d) for d in digests], "digest": digests, "fps": [s.tobytes() for s in sets]})
@@ -172,13 +195,28 @@ def set_rows(base: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInPandas(run, "cid long, digest binary, fps binary")
 
 
+def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, far): far is a lower bound of the Jaccard distance, by sketches."""
+    side = lambda k: classes.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in slices(batches):
+            na, nb = pdf["na"].to_numpy(), pdf["nb"].to_numpy()
+            least = np.minimum(na, nb)
+            most = np.array([min(m, most_common(x, y, m)) for x, y, m in zip(pdf["sa"], pdf["sb"], least, strict=True)], np.int64)
+            yield pdf[["a", "b"]].assign(far=1 - most / np.maximum(1, na + nb - most), open=7 * most >= 3 * (na + nb))
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInPandas(run, "a long, b long, far double, open boolean")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, da, db, common, total): exact sizes of intersection and union of each pair of classes."""
-    second = pairs.join(sets.select(F.col("cid").alias("b"), F.col("digest").alias("db"), F.col("fps").alias("fb")), "b")
+    second = pairs.select("a", "b").join(sets.select(F.col("cid").alias("b"), F.col("digest").alias("db"), F.col("fps").alias("fb")), "b")
     both = second.join(sets.select(F.col("cid").alias("a"), F.col("digest").alias("da"), F.col("fps").alias("fa")), "a")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             common, total = [], []
             for x, y in zip(pdf["fa"], pdf["fb"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -192,13 +230,27 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "da", "db", "fa", "fb").mapInPandas(run, columns)
 
 
+def short_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) that sizes, positions, components and pivot distances leave open, over short lists."""
+    x, y = lists.alias("x"), lists.alias("y")
+    apart = (F.col("x.near") - F.col("y.far") > 0.25) | (F.col("y.near") - F.col("x.far") > 0.25)
+    met = x.join(
+        y,
+        (F.col("x.h") == F.col("y.h"))
+        & (F.col("x.cid") < F.col("y.cid"))
+        & (F.col("x.root") != F.col("y.root"))
+        & may_link(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"))
+        & ~apart,
+    )
+    return met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+
+
 def block_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) that sizes, positions, components and pivot distances leave open, over lists (h, cid, size, pos, root, dist)."""
+    """The same over long lists, by blocks."""
     place = Window.partitionBy("h").orderBy("size", "cid")
     cut = lists.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK))
-    member = F.struct("cid", "size", "pos", "root", "dist")
     blocks = cut.groupBy("h", "block").agg(
-        F.collect_list(member).alias("members"),  # at most BLOCK
+        *[F.collect_list(c).alias(c) for c in ("cid", "size", "pos", "root", "near", "far")],  # at most BLOCK each
         F.min("size").alias("low"),
         F.max("size").alias("high"),
         F.min("pos").alias("first"),
@@ -213,26 +265,25 @@ def block_pairs(lists: DataFrame) -> DataFrame:
         & (4 * F.col("x.high") >= 3 * F.col("y.low"))
         & (7 * (F.least(F.col("x.high") - F.col("x.first"), F.col("y.high") - F.col("y.first"))) >= 3 * (F.col("x.low") + F.col("y.low")))
         & ((F.col("x.root0") != F.col("x.root1")) | (F.col("y.root0") != F.col("y.root1")) | (F.col("x.root0") != F.col("y.root0"))),
-    ).select(F.col("x.members").alias("left"), F.col("y.members").alias("right"), (F.col("x.block") == F.col("y.block")).alias("own"))
+    )
+    parts = ("cid", "size", "pos", "root", "near", "far")
+    met = met.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in parts], (F.col("x.block") == F.col("y.block")).alias("own"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for left, right, own in zip(pdf["left"], pdf["right"], pdf["own"], strict=True):
-                p, q = pd.DataFrame(list(left)), pd.DataFrame(list(right))
-                get = lambda f, c: f[c].to_numpy()
-                s1, s2 = get(p, "size")[:, None], get(q, "size")[None, :]
-                r1, r2 = s1 - get(p, "pos")[:, None], s2 - get(q, "pos")[None, :]
-                ok = 7 * np.minimum(r1, r2) >= 3 * (s1 + s2)
-                ok &= get(p, "root")[:, None] != get(q, "root")[None, :]
-                d1, d2 = get(p, "dist").astype(float)[:, None], get(q, "dist").astype(float)[None, :]
-                ok &= ~(np.abs(d1 - d2) > 0.25 + 1e-9)  # NaN: not known, stays
-                if own:
-                    ok &= np.tri(len(p), k=-1, dtype=bool).T
+            for row in pdf.itertuples(index=False):
+                left = lambda c: np.asarray(getattr(row, f"x_{c}"))[:, None]  # noqa: B023, E731
+                right = lambda c: np.asarray(getattr(row, f"y_{c}"))[None, :]  # noqa: B023, E731
+                ok = 7 * np.minimum(left("size") - left("pos"), right("size") - right("pos")) >= 3 * (left("size") + right("size"))
+                ok &= left("root") != right("root")
+                ok &= (left("near") - right("far") <= 0.25) & (right("near") - left("far") <= 0.25)
+                if row.own:
+                    ok &= np.tri(*ok.shape, k=-1, dtype=bool).T
                 i, j = np.nonzero(ok)
-                a, b = get(p, "cid")[i], get(q, "cid")[j]
+                a, b = left("cid")[i, 0], right("cid")[0, j]
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return met.mapInPandas(run, "a long, b long").filter("a <> b").distinct()
+    return met.mapInPandas(run, "a long, b long").filter("a <> b")
 
 
 def jaccard_components(
@@ -242,37 +293,50 @@ def jaccard_components(
     folder = folder or shared_folder(docs.sparkSession)
     base = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = written(scanned(base, width), folder, "rows")
-    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    kinds = rows.filter("digest is not null").groupBy("digest")
+    classes = kinds.agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes.withColumn("cid", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")), folder, "classes")
     hot, often = frequent(base, width)
     lists = written(shared_lists(prefixes(base, width, hot, often)), folder, "lists")
 
+    def nodes_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+
+    def whole_sets(nodes: DataFrame, name: str) -> DataFrame:
+        wanted = classes.select("cid", "rep").join(nodes, "cid", "left_semi")
+        return written(set_rows(base, wanted, width).dropDuplicates(["digest"]), folder, name)
+
     # Each list asks its pivot.
     pivot = lists.groupBy("h").agg(F.min(F.struct("cid", "size", "pos")).alias("p"))
     asked = lists.join(pivot, "h").filter(F.col("cid") != F.col("p.cid"))
     stars = asked.filter(may_link(F.col("size"), F.col("pos"), F.col("p.size"), F.col("p.pos")))
-    pairs = written(stars.select(F.col("p.cid").alias("a"), F.col("cid").alias("b")).distinct(), folder, "stars")
-    nodes = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    coded = written(classes.select("rep", F.expr("cast(conv(hex(substring(digest, 1, 8)), 16, -10) as bigint)").alias("cid")), folder, "classes")
-    sets = written(set_rows(base, coded.join(nodes, "cid", "left_semi"), width).dropDuplicates(["digest"]), folder, "sets")
-    answers = written(verified(pairs, sets), folder, "answers")
+    stars = stars.select(F.col("p.cid").alias("a"), F.col("cid").alias("b")).distinct()
+    pairs = written(bounded(stars, classes), folder, "stars")
+    likely = pairs.filter("open")
+    nodes = nodes_of(likely)
+    sets = whole_sets(nodes, "sets")
+    answers = written(verified(likely, sets), folder, "answers")
     linked = answers.filter("7 * common >= 3 * (common + total)")
     roots = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), folder, "first")
 
-    # Lists that still hold two components: pairs of blocks, less what pivots and components tell.
+    # Lists that still hold two components: other pairs, less what pivots and components tell.
     known = lists.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     open_lists = known.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"), F.min("cid").alias("p"))
-    open_lists = open_lists.filter("r0 <> r1 and n > 2").select("h", "p")
-    dist = answers.groupBy("a", "b").agg(F.max(1 - F.col("common") / F.col("total")).alias("dist"))
-    rest = known.join(open_lists, "h").filter("cid <> p")
-    rest = rest.join(dist.select(F.col("a").alias("p"), F.col("b").alias("cid"), "dist"), ["p", "cid"], "left")
-    more = written(block_pairs(rest.select("h", "cid", "size", "pos", "root", "dist")).join(pairs, ["a", "b"], "left_anti"), folder, "more")
-    extra = more.select(F.col("a").alias("cid")).unionByName(more.select(F.col("b").alias("cid"))).distinct()
-    extra = coded.join(extra.join(nodes, "cid", "left_anti"), "cid", "left_semi")
-    more_sets = written(set_rows(base, extra, width).dropDuplicates(["digest"]), folder, "more_sets")
-    late = verified(more, sets.unionByName(more_sets).dropDuplicates(["digest"])).filter("7 * common >= 3 * (common + total)")
+    open_lists = open_lists.filter("r0 <> r1 and n > 2").select("h", "p", "n")
+    exact = answers.groupBy("a", "b").agg(F.max(1 - F.col("common") / F.col("total")).alias("d"))
+    dist = pairs.join(exact, ["a", "b"], "left").select(
+        F.col("a").alias("p"), F.col("b").alias("cid"), F.coalesce("d", "far").alias("near"), F.coalesce("d", F.lit(1.0)).alias("far")
+    )
+    rest = known.join(open_lists, "h").filter("cid <> p").join(dist, ["p", "cid"], "left").fillna(0.0, ["near"]).fillna(1.0, ["far"])
+    # near and far: the least and the greatest distance to the pivot that is possible
+    rest = written(rest.select("h", "cid", "size", "pos", "root", "near", "far", "n"), folder, "rest")
+    more = short_pairs(rest.filter(F.col("n") <= SHORT_LIST)).unionByName(block_pairs(rest.filter(F.col("n") > SHORT_LIST)))
+    more = written(bounded(more.distinct().join(pairs, ["a", "b"], "left_anti"), classes).filter("open"), folder, "more")
+    more_sets = whole_sets(nodes_of(more).join(nodes, "cid", "left_anti"), "more_sets")
+    late = verified(more, sets.unionByName(more_sets)).filter("7 * common >= 3 * (common + total)")
 
     links = linked.select(F.col("da").alias("u"), F.col("db").alias("v")).unionByName(late.select(F.col("da").alias("u"), F.col("db").alias("v")))
-    members = written(components(links, folder, "all"), folder, "members")
+    members = components(links, folder, "all")
     reach = classes.join(members.withColumnRenamed("node", "digest"), "digest")
     least = reach.groupBy("root").agg(F.min("rep").alias("component_id"))
     grouped = reach.join(least, "root").select("digest", "component_id")
