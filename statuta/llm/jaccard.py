@@ -7,7 +7,8 @@ whole table is in it or implied by links in it.
 1. Equal sets are one class (128-bit digest), so copies are joined once.
 2. Prefix index: shingles have one global order, those found often in a sample last. A set of n enters the lists of its
    first n - ceil(3n/4) + 1 shingles; sets that link share one of them. Lists hold position and size.
-3. Answers of a similar set: each list compares its members with one pivot set only. Members of one component need no
+3. Answers of a similar set: each list compares its members with its pivot set only (a list of more than SHORT_LIST with
+   PIVOTS of them, so that a large group of near copies hangs together). Members of one component need no
    further comparison. For two members x, y of different components the pivot's distances bound theirs
    (|d(p,x) - d(p,y)| <= d(x,y), Jaccard distance being a metric), so most answers of x follow from those of p.
 4. Block skipping: what is left of a long list is cut into blocks ordered by size, with their ranges of size and position;
@@ -43,6 +44,7 @@ SAMPLE = 16
 HOT_SHINGLES = 1_000_000
 BLOCK = 256
 SHORT_LIST = 64
+PIVOTS = 20
 MOST_CELLS = 4096
 BROADCAST_IDS = 2_000_000
 
@@ -150,29 +152,33 @@ def prefixes(base: DataFrame, width: int, hot: np.ndarray, often: np.ndarray) ->
 
 
 def shared_lists(entries: DataFrame) -> DataFrame:
-    """Entries of lists with two classes or more, each once. Partitions come sorted, so this streams with one row of memory."""
+    """Entries of lists with two classes or more, each once, with its rank in the list from 0. Partitions come sorted, so
+    this streams with one row of memory."""
+    columns = entries.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, matched = None, False  # the last row, and whether one before it has its h
+        last, rank = None, 0  # the last row and its rank
         for pdf in batches:
             if last is not None:
                 pdf = pd.concat([last, pdf], ignore_index=True)
             h, cid = pdf["h"].to_numpy(), pdf["cid"].to_numpy()
             new = np.ones(len(pdf), bool)
             new[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])
-            pdf = pdf[new]
-            h = h[new]
-            same = h[1:] == h[:-1]
-            keep = np.zeros(len(h), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            keep[0] |= matched
-            last, matched = pdf.iloc[-1:], bool(keep[-1])
+            pdf, h = pdf[new], h[new]
+            starts = np.ones(len(h), bool)
+            starts[1:] = h[1:] != h[:-1]
+            at = np.arange(len(h))
+            ranks = at - np.maximum.accumulate(np.where(starts, at, 0))
+            ranks[np.cumsum(starts) == 1] += rank
+            keep = ranks > 0
+            keep[:-1] |= ranks[1:] > 0
+            pdf = pdf.assign(rank=ranks)
+            last, rank = pdf.iloc[-1:][columns], int(ranks[-1])
             yield pdf[:-1][keep[:-1]]
-        if last is not None and matched:
-            yield last
+        if last is not None and rank:
+            yield last.assign(rank=rank)
 
-    return entries.repartition("h").sortWithinPartitions("h", "cid").mapInPandas(run, entries.schema)
+    return entries.repartition("h").sortWithinPartitions("h", "cid").mapInPandas(run, "h long, cid long, size int, pos int, rank long")
 
 
 def may_link(s1: Column, p1: Column, s2: Column, p2: Column) -> Column:
@@ -245,12 +251,13 @@ def short_pairs(lists: DataFrame) -> DataFrame:
     return met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
 
-def block_pairs(lists: DataFrame) -> DataFrame:
-    """The same over long lists, by blocks."""
+def block_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """The same over long lists, by blocks; only pairs that their sketches leave open come out."""
+    lists = lists.join(classes.select("cid", "sketch"), "cid")
     place = Window.partitionBy("h").orderBy("size", "cid")
     cut = lists.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK))
     blocks = cut.groupBy("h", "block").agg(
-        *[F.collect_list(c).alias(c) for c in ("cid", "size", "pos", "root", "near", "far")],  # at most BLOCK each
+        *[F.collect_list(c).alias(c) for c in ("cid", "size", "pos", "root", "near", "far", "sketch")],  # at most BLOCK each
         F.min("size").alias("low"),
         F.max("size").alias("high"),
         F.min("pos").alias("first"),
@@ -266,7 +273,7 @@ def block_pairs(lists: DataFrame) -> DataFrame:
         & (7 * (F.least(F.col("x.high") - F.col("x.first"), F.col("y.high") - F.col("y.first"))) >= 3 * (F.col("x.low") + F.col("y.low")))
         & ((F.col("x.root0") != F.col("x.root1")) | (F.col("y.root0") != F.col("y.root1")) | (F.col("x.root0") != F.col("y.root0"))),
     )
-    parts = ("cid", "size", "pos", "root", "near", "far")
+    parts = ("cid", "size", "pos", "root", "near", "far", "sketch")
     met = met.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in parts], (F.col("x.block") == F.col("y.block")).alias("own"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,6 +287,11 @@ def block_pairs(lists: DataFrame) -> DataFrame:
                 if row.own:
                     ok &= np.tri(*ok.shape, k=-1, dtype=bool).T
                 i, j = np.nonzero(ok)
+                need = 3 * (left("size")[i, 0] + right("size")[0, j])
+                least = np.minimum(left("size")[i, 0], right("size")[0, j])
+                most = [most_common(row.x_sketch[x], row.y_sketch[y], m) for x, y, m in zip(i, j, least, strict=True)]
+                open_pairs = 7 * np.array(most, np.int64) >= need
+                i, j = i[open_pairs], j[open_pairs]
                 a, b = left("cid")[i, 0], right("cid")[0, j]
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -306,11 +318,12 @@ def jaccard_components(
         wanted = classes.select("cid", "rep").join(nodes, "cid", "left_semi")
         return written(set_rows(base, wanted, width).dropDuplicates(["digest"]), folder, name)
 
-    # Each list asks its pivot.
-    pivot = lists.groupBy("h").agg(F.min(F.struct("cid", "size", "pos")).alias("p"))
-    asked = lists.join(pivot, "h").filter(F.col("cid") != F.col("p.cid"))
-    stars = asked.filter(may_link(F.col("size"), F.col("pos"), F.col("p.size"), F.col("p.pos")))
-    stars = stars.select(F.col("p.cid").alias("a"), F.col("cid").alias("b")).distinct()
+    # Each list asks its pivots, the first members by class.
+    long_lists = lists.filter(F.col("rank") == SHORT_LIST).select("h", F.lit(True).alias("long"))
+    pivots = lists.filter(F.col("rank") < PIVOTS).join(long_lists, "h", "left").filter("rank = 0 or long").drop("long")
+    x, p = lists.alias("x"), pivots.alias("p")
+    asked = (F.col("x.h") == F.col("p.h")) & (F.col("x.rank") > F.col("p.rank")) & may_link(F.col("x.size"), F.col("x.pos"), F.col("p.size"), F.col("p.pos"))
+    stars = x.join(p, asked).select(F.col("p.cid").alias("a"), F.col("x.cid").alias("b")).distinct()
     pairs = written(bounded(stars, classes), folder, "stars")
     likely = pairs.filter("open")
     nodes = nodes_of(likely)
@@ -329,8 +342,9 @@ def jaccard_components(
     )
     rest = known.join(open_lists, "h").filter("cid <> p").join(dist, ["p", "cid"], "left").fillna(0.0, ["near"]).fillna(1.0, ["far"])
     # near and far: the least and the greatest distance to the pivot that is possible
+    rest = rest.filter((F.col("n") <= SHORT_LIST) | (F.col("rank") >= PIVOTS))  # pivots of long lists have asked all members
     rest = written(rest.select("h", "cid", "size", "pos", "root", "near", "far", "n"), folder, "rest")
-    more = short_pairs(rest.filter(F.col("n") <= SHORT_LIST)).unionByName(block_pairs(rest.filter(F.col("n") > SHORT_LIST)))
+    more = short_pairs(rest.filter(F.col("n") <= SHORT_LIST)).unionByName(block_pairs(rest.filter(F.col("n") > SHORT_LIST), classes))
     more = written(bounded(more.distinct().join(pairs, ["a", "b"], "left_anti"), classes).filter("open"), folder, "more")
     more_sets = whole_sets(nodes_of(more).join(nodes, "cid", "left_anti"), "more_sets")
     late = verified(more, sets.unionByName(more_sets)).filter("7 * common >= 3 * (common + total)")
