@@ -1,6 +1,6 @@
 """Operator 7: toxicity by noisy-channel deobfuscation.
 
-A character trigram model is counted over words of the training texts. A token that looks disguised (a letter
+A character trigram model is counted over the words of all documents (a word once per row; equal rows each). A token that looks disguised (a letter
 repeated three times or more, digits or signs among its letters, single letters spaced out) becomes a lattice: each
 written character may stand for itself or for the letters it imitates, a repeated character for one or two,
 a gap for nothing or a word end, each at a price. Viterbi decoding under the model finds the likeliest word. The
@@ -9,7 +9,7 @@ the labels apart.
 
 Training uses at most about TRAIN_ROWS labelled rows (a hash sample when there are more), never those whose
 crc32(doc_id) mod 5 is 0; equal texts count once. The weights are fitted on the driver from the lexicon entries of those rows. Only text is ever an input of a score. The lexicon (MAX_LEXICON words)
-and the trigram table (MAX_TRIGRAMS) have fixed sizes, so they go to every task.
+and the trigram table (bounded by the alphabet) go to every task.
 
 Defined results: null and empty texts get the score of a text without words. Without labelled rows, or with one label
 only, every score is the share of label 1 (0 without rows). A null label or id does not train; repeated
@@ -35,7 +35,6 @@ from statuta.session import table
 
 TRAIN_ROWS = 20_000
 MAX_LEXICON = 4096
-MAX_TRIGRAMS = 40_000
 MIN_TEXTS = 5  # a lexicon entry is in at least so many training texts
 MIN_SHARE = 0.01  # and in at least this share of the texts of one label
 MIN_G = 25.0  # and its log-likelihood ratio statistic is at least this
@@ -213,6 +212,17 @@ def g_test(a: float, n: float, b: float, m: float) -> float:
     return g
 
 
+def char_model(docs: DataFrame, text: str = "text") -> CharModel:
+    """The trigram counts of every row's words. Words are added up first, so each is cut into trigrams once a task."""
+    lower = F.lower(F.col(f"`{text}`"))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(lower, F.lit(r"[\p{L}]{2,}"), 0))).alias("word"))
+    words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    marked = words.select(F.concat(F.lit(EDGE * 2), "word", F.lit(EDGE)).alias("word"), "n")
+    places = F.sequence(F.lit(1), F.length("word") - 2)
+    grams = marked.select(F.explode(F.transform(places, lambda i: F.substring("word", i, F.lit(3)))).alias("gram"), "n")
+    return CharModel({r["gram"]: r["n"] for r in grams.groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator()})
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> ToxicModel:
     marks = pick(labels, doc_id=doc_id, label=label).filter("doc_id is not null and label in (0, 1)").filter(~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
@@ -221,11 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         marks = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * rows / there))
     texts = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(marks), "doc_id")  # at most about `rows` ids
     texts = texts.groupBy(F.xxhash64("text").alias("digest")).agg(F.max("label").alias("label"), F.min_by("text", "doc_id").alias("text"))
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{2,}"), 0))).alias("word"))
-    marked = words.withColumn("word", F.concat(F.lit(EDGE * 2), "word", F.lit(EDGE)))
-    grams = marked.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring("word", i, F.lit(3)))).alias("gram"))
-    top = grams.groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(MAX_TRIGRAMS).collect()
-    chars = CharModel({r["gram"]: r["count"] for r in top})
+    chars = char_model(docs, text)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(chars)
