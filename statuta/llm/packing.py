@@ -1,8 +1,8 @@
 """Operator 2: conflict-constrained best-fit packing of documents into training sequences.
 
-A bin is one sequence of `capacity` words. Each bin carries a 64-bit map of the sources it holds and one of
-the duplicate clusters (documents with the same words); a piece may enter only a bin whose maps do not meet its
-own. Maps are hashed to 64 bits, so an accidental meeting only makes the choice stricter, never wrong. Open
+A bin is one sequence of `capacity` words. Each bin carries a bitmap of the sources it holds and one of
+the duplicate clusters (documents with the same words, by a 64-bit digest; near copies are clusters of their own); a piece may
+enter only a bin whose maps do not meet its own. Sources and clusters are numbered within their group, a bit each. Open
 bins are kept in order of residual room: best fit starts at the smallest residual that holds the piece and goes
 on to its successors until a compatible bin is found, else it opens a new bin.
 
@@ -18,7 +18,7 @@ different bins). The rows within a group are ordered by length, id and digest, s
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -58,11 +58,18 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return placed
 
 
+def one_bits(values: list) -> list[int]:
+    """A bit for each value that occurs more than once, 0 for null and for what can meet nothing."""
+    seen = Counter(v for v in values if v is not None)
+    bits = {v: 1 << i for i, (v, n) in enumerate(seen.most_common()) if n > 1}
+    return [bits.get(v, 0) for v in values]
+
+
 def pack_group(pdf: pd.DataFrame, capacity: int, group: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["n_words", "doc_id", "digest"], ascending=[False, True, True], kind="stable", na_position="last")
     rows, tails = [], []
     full = 0
-    for doc_id, n, source, digest in zip(pdf.doc_id, pdf.n_words, pdf.source_bit, pdf.digest, strict=True):
+    for doc_id, n, source, digest in zip(pdf.doc_id, pdf.n_words, pdf.source, pdf.digest, strict=True):
         doc = None if pd.isna(doc_id) else int(doc_id)
         pieces = int(n) // capacity
         for k in range(pieces):
@@ -70,12 +77,12 @@ def pack_group(pdf: pd.DataFrame, capacity: int, group: int) -> pd.DataFrame:
             full += 1
         tail = int(n) - pieces * capacity
         if tail:
-            tails.append((tail, doc, pieces, int(source), 1 << (int(digest) & 63)))
+            tails.append((tail, doc, pieces, None if pd.isna(source) else source, int(digest)))
         elif not pieces:
             rows.append((doc, 0, 0, 0, None, None))
     tails.sort(key=lambda t: -t[0])
-    bits = [0 if s < 0 else 1 << s for _, _, _, s, _ in tails]
-    for (size, doc, k, _, _), (number, offset) in zip(tails, best_fit([t[0] for t in tails], bits, [t[4] for t in tails], capacity), strict=True):
+    sources, clusters = one_bits([t[3] for t in tails]), one_bits([t[4] for t in tails])
+    for (size, doc, k, _, _), (number, offset) in zip(tails, best_fit([t[0] for t in tails], sources, clusters, capacity), strict=True):
         rows.append((doc, k, k * capacity, size, f"{group}-{number}", offset))
     out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "bin", "bin_offset"])
     return out.astype({"doc_id": "Int64", "piece": "int32", "start": "int64", "length": "int64", "bin_offset": "Int64"})
@@ -96,7 +103,7 @@ def pack(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.size(words).cast("long").alias("n_words"),
         F.xxhash64(words).alias("digest"),
-        F.when(F.col("source").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("source"), F.lit(64))).cast("int").alias("source_bit"),
+        F.col("source").cast("string").alias("source"),
     )
     groups = max(1, -(-docs.count() // group_rows))
     # pieces of one document follow one another in its own group; the id is salted by content against repeated ids
