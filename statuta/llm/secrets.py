@@ -1,21 +1,27 @@
 """Operator 4: secret scans by assignment-aware lexing.
 
 Each whole text is read once. Three base patterns give spans of kinds assign, access and hex. The lexer then
-finds every ':' or '=' and reads the name before it and the literal after it, in source or configuration syntax
-(name = "literal", "name": 'literal', name := literal, NAME=literal). A literal that is a name assigned before
+finds every run of ':' and '=' and reads the name before it and the literal after it, in source or configuration syntax
+(name = "literal", "name": 'literal', name := literal, name => literal, NAME=literal). A literal that is a name assigned before
 takes that name's constant, and "a" + "b" joins the constants, so a value is followed to the sensitive name it
-reaches. A literal's score is the sensitivity of its target name times the strength of its value; at LEXED_SCORE
+reaches. A literal's score is the sensitivity of its target name times the strength of its value (in steps of 1/64); at LEXED_SCORE
 or more, the literal's own span is added with kind lexed unless a base span covers it.
 
-Defined results: a null text is an empty one and has no spans. Overlong literals and names are read in full.
-Spans are in code points, end exclusive. Repeated rows give a row each.
+A constant is held as counts and places, never as joined text: a = a + a in many lines, long chains k1=k2=... and long runs of marks
+take time and memory in proportion to the text.
+
+Defined results: a null text is an empty one and has no spans; an empty table gives no rows; a null id stays null. Very long texts, literals and names
+are read in full. Spans are in code points, end exclusive. Repeated rows give a row each. Other columns are carried through by
+redact_secrets whatever their names and types, and do not matter to scan_secrets.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +36,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-MARK = re.compile(r"[:=]")
-NAME = re.compile(r"[A-Za-z0-9_.$-]")
-LITERAL = re.compile(r"""[:=>]?[\x20\t]*(?:"([^"\n]*)"|'([^'\n]*)'|([^\s"',;(){}\[\]<>]+))""")
-JOINED = re.compile(r"""[\x20\t]*\+[\x20\t]*(?:"([^"\n]*)"|'([^'\n]*)'|([A-Za-z_$][\w.$-]*))""")
+MARKS = re.compile(r"[:=](?:[\x20\t]*+[:=])*+>?[\x20\t]*+")
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.$-")
+QUOTED = re.compile(r""""([^"\n]*)"|'([^'\n]*)'""")
+BARE = re.compile(r"""[^\s"',;(){}\[\]<>]++""")
+JOINED = re.compile(r"""[\x20\t]*+\+[\x20\t]*+(?:"([^"\n]*)"|'([^'\n]*)'|([A-Za-z_$][\w.$-]*+))""")
 
 #: What a target name says about its value.
 SENSITIVE = {
@@ -41,7 +48,9 @@ SENSITIVE = {
     "privatekey": 1.0, "accesskey": 1.0, "signature": 0.6, "auth": 0.7, "bearer": 0.8, "session": 0.5, "salt": 0.5, "connectionstring": 0.8,
 }
 LEXED_SCORE = 0.35
-PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|none|null|true|false|changeme|example|your[-_].*|<.*>|\$\{.*\}|%.*%)$", re.I)
+FULL_BITS = 64.0
+MOST = 1 << 40  # counts of longer joined values stop here
+WORDS = {"changeme", "none", "null", "true", "false", "example"}
 
 
 def sensitivity(name: str) -> float:
@@ -49,13 +58,59 @@ def sensitivity(name: str) -> float:
     return max((weight for word, weight in SENSITIVE.items() if word in flat), default=0.0)
 
 
-def strength(value: str) -> float:
-    """0 to 1: bits of entropy of the characters, full at 64 bits; words of letters alone count half."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or "://" in value:
-        return 0.0
-    n = len(value)
-    bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
-    return min(1.0, bits / 64) * (0.5 if value.isalpha() else 1.0)
+class Value:
+    """What a constant's score needs, instead of its text: length, counts of characters while they hold less than FULL_BITS of entropy
+    (more characters never make it less, so beyond that they are not needed), first and last characters, and where its
+    literals stand. A joined value keeps its two parts, so places are shared and never copied."""
+
+    __slots__ = ("alpha", "counts", "head", "marked", "n", "only_x", "parts", "tail", "url")
+
+    def __init__(self, n, counts, alpha, only_x, url, head, tail, parts):
+        self.n, self.counts, self.alpha, self.only_x, self.url, self.head, self.tail, self.parts = n, counts, alpha, only_x, url, head, tail, parts
+        self.marked = 0.0  # the best score that its places have been given
+
+    def strength(self) -> float:
+        """0 to 1: bits of entropy of the characters, full at FULL_BITS; words of letters alone count half."""
+        if self.n < 8 or self.url or self.placeholder():
+            return 0.0
+        return min(1.0, (FULL_BITS if self.counts is None else bits(self.counts, self.n)) / FULL_BITS) * (0.5 if self.alpha else 1.0)
+
+    def placeholder(self) -> bool:
+        """xxxx, ****, ...., <...>, ${...}, %...%, your-... and the usual words."""
+        head, last = self.head.lower(), self.tail[-1:]
+        if self.only_x or (self.counts is not None and len(self.counts) == 1 and head[0] in "*."):
+            return True
+        closed = (head[0] == "<" and last == ">") or (head[:2] == "${" and last == "}") or (head[0] == "%" and last == "%" and self.n > 1)
+        return closed or head[:5] in ("your-", "your_") or (self.n == 8 and head in WORDS)
+
+
+def bits(counts: dict[str, int], n: int) -> float:
+    return -sum(c * math.log2(c / n) for c in counts.values())
+
+
+def open_counts(counts: dict[str, int], n: int) -> dict[str, int] | None:
+    return None if bits(counts, n) >= FULL_BITS else counts
+
+
+def literal(text: str, start: int, end: int) -> Value:
+    """The value of one literal."""
+    own = text[start:end]
+    counts = open_counts(Counter(own), end - start) if own else {}
+    return Value(end - start, counts, own.isalpha(), bool(own) and not own.strip("xX"), "://" in own, own[:8], own[-2:], (start, end))
+
+
+def joined_value(a: Value, b: Value) -> Value:
+    if not a.n or not b.n:
+        return b if not a.n else a
+    n, counts = min(MOST, a.n + b.n), None
+    if a.counts is not None and b.counts is not None:
+        counts = dict(a.counts)
+        for char, k in b.counts.items():
+            counts[char] = min(MOST, counts.get(char, 0) + k)
+        counts = open_counts(counts, sum(counts.values()))
+    head = a.head if a.n >= 8 else (a.head + b.head)[:8]
+    tail = b.tail if b.n >= 2 else (a.tail + b.tail)[-2:]
+    return Value(n, counts, a.alpha and b.alpha, a.only_x and b.only_x, a.url or b.url or "://" in a.tail + b.head, head, tail, (a, b))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,62 +125,121 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def name_before(text: str, at: int) -> str:
+    """The name that ends before a mark, perhaps in quotes or brackets; marks part names, so no character is read for two of them."""
     end = at
-    while end and text[end - 1] in " \t:":
+    while end and text[end - 1] in " \t":
         end -= 1
     if end and text[end - 1] in "\"']":
         end -= 1
         while end and text[end - 1] in "\"'":
             end -= 1
     start = end
-    while start and NAME.match(text[start - 1]):
+    while start and text[start - 1] in NAME:
         start -= 1
     return text[start:end]
 
 
-def lexed_spans(text: str, constants: dict[str, tuple[str, list[tuple[int, int]]]] | None = None) -> list[tuple[int, int, float]]:
-    """(start, end, score) of the literals that reach a sensitive name."""
-    known = {} if constants is None else constants
+def run_values(text: str, starts: list[int], end: int) -> list[Value]:
+    """Values of bare literals that begin at ascending places of one run of characters and all end with it. They are
+    read once, from the right: each adds its own characters to what follows."""
+    last = end
+    while last > starts[-1] + 1 and text[last - 1] in ".:!?":
+        last -= 1
+    own = literal(text, starts[-1], last)
+    values, tail, counts, at, url = [own], own.tail, own.counts, starts[-1], own.url
+    only_x = own.only_x
+    for start in reversed(starts[:-1]):
+        added = text[start:at]
+        if counts is not None:
+            counts = dict(counts)
+            for char, k in Counter(added).items():
+                counts[char] = counts.get(char, 0) + k
+            counts = open_counts(counts, last - start)
+        url = url or "://" in added + text[at : at + 2]
+        only_x = only_x and not added.strip("xX")
+        tail = tail if len(tail) == 2 else text[max(start, last - 2) : last]
+        values.append(Value(last - start, counts, False, only_x, url, text[start : min(last, start + 8)], tail, (start, last)))
+        at = start
+    return values[::-1]
+
+
+def chain(text: str, at: int, known: dict[str, Value]) -> Value | None:
+    """What '+' joins on after a literal: quoted parts and names with their constants."""
+    value = None
+    m = JOINED.match(text, at)
+    while m:
+        group = m.lastindex
+        part = known.get(m[3]) if group == 3 else None
+        part = part or literal(text, *m.span(group))
+        value = part if value is None else joined_value(value, part)
+        m = JOINED.match(text, m.end())
+    return value
+
+
+def mark_places(value: Value, score: float, found: dict[tuple[int, int], float]) -> None:
+    """Gives a score to every literal of a value. Parts that had this score before are passed by, and scores have 64 steps, so
+    shared parts are visited at most so many times."""
+    todo = [value]
+    while todo:
+        v = todo.pop()
+        if v.marked >= score:
+            continue
+        v.marked = score
+        if isinstance(v.parts[0], Value):
+            todo += v.parts
+        else:
+            found[v.parts] = max(score, found.get(v.parts, 0.0))
+
+
+def lexed_spans(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, score) of the literals that reach a sensitive name. Time and memory grow with the text's length only."""
+    known: dict[str, Value] = {}
     found: dict[tuple[int, int], float] = {}
-    for mark in MARK.finditer(text):
+
+    def assign(name: str, value: Value, more: Value | None) -> None:
+        value = value if more is None else joined_value(value, more)
+        known[name] = value
+        weight = sensitivity(name)
+        if weight:
+            score = weight * value.strength()
+            if score >= LEXED_SCORE:
+                mark_places(value, max(LEXED_SCORE, math.floor(score * 64) / 64), found)
+
+    def assign_run(names: list[str], starts: list[int], end: int) -> None:
+        """Literals of one run: only the last of them can be a name."""
+        values = run_values(text, starts, end)
+        more = chain(text, end, known)
+        for name, value in zip(names[:-1], values[:-1], strict=True):
+            assign(name, value, more)
+        assign(names[-1], known.get(text[starts[-1] : end]) or values[-1], more)
+
+    names: list[str] = []
+    starts: list[int] = []
+    run_end = 0
+    for mark in MARKS.finditer(text):
+        at = mark.end()
+        if names and at >= run_end:
+            assign_run(names, starts, run_end)
+            names, starts = [], []
         name = name_before(text, mark.start())
         if not name or name[0].isdigit():
             continue
-        m = LITERAL.match(text, mark.end())
-        if not m:
+        quoted = QUOTED.match(text, at)
+        if quoted:
+            assign(name, literal(text, *quoted.span(quoted.lastindex)), chain(text, quoted.end(), known))
             continue
-        value, places = literal(m, known)
-        more = JOINED.match(text, m.end())
-        while more:
-            part, where = literal(more, known)
-            value, places = value + part, places + where
-            more = JOINED.match(text, more.end())
-        known[name] = (value, places)
-        weight = sensitivity(name)
-        if weight:
-            score = weight * strength(value)
-            if score >= LEXED_SCORE:
-                for place in places:
-                    found[place] = max(score, found.get(place, 0.0))
+        if at >= run_end:
+            bare = BARE.match(text, at)
+            if not bare:
+                continue
+            run_end = bare.end()
+        names.append(name)
+        starts.append(at)
+    if names:
+        assign_run(names, starts, run_end)
     return [(a, b, s) for (a, b), s in found.items()]
 
 
-def literal(m: re.Match, known: dict) -> tuple[str, list[tuple[int, int]]]:
-    for group in (1, 2):
-        if m[group] is not None:
-            return m[group], [m.span(group)]
-    if m[3] in known:
-        return known[m[3]]
-    start, end = m.span(3)
-    while end > start + 1 and text_end(m[3][end - start - 1]):
-        end -= 1
-    return m[3][: end - start], [(start, end)]
-
-
-def text_end(char: str) -> bool:
-    return char in ".:!?"
-
-
 def scan_text(text: str | None) -> list[tuple[int, int, int, float]]:
     """All spans (start, kind, end, score) of a text, by start, kind and end."""
     if not text:
@@ -133,8 +247,10 @@ def scan_text(text: str | None) -> list[tuple[int, int, int, float]]:
     base = sorted(base_spans(text))
     spans = [(a, k, b, 1.0) for a, k, b in base]
     if ":" in text or "=" in text:
+        starts, reach = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
         for a, b, score in lexed_spans(text):
-            if not any(x <= a and b <= y for x, _, y in base):
+            at = bisect_right(starts, a)  # base spans that begin no later
+            if not at or reach[at - 1] < b:
                 spans.append((a, 3, b, score))
     return sorted(spans)
 
@@ -174,11 +290,13 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def redact_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """docs with every secret replaced; the length column, if any, follows the new text."""
-    out = docs.withColumn(text, redact_udf(F.col(text)))
-    if length and length in docs.columns:
-        kind = dict(docs.dtypes)[length]
-        out = out.withColumn(length, F.length(text).cast(kind))
-    return out.select(*docs.columns)
+    kinds = dict(docs.dtypes)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), redact_udf(F.col(f"`{text}`")).alias("clean"))
+    changed = {text: F.col("clean")}
+    if length and length != text and length in kinds:
+        changed[length] = F.length("clean").cast(kinds[length])
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:
