@@ -9,10 +9,10 @@ whole table is in it or implied by links in it.
    first n - ceil(3n/4) + 1 shingles; sets that link share one of them. Lists hold position and size.
 3. Answers of a similar set: each list compares its members with its pivot set only (a list of more than SHORT_LIST with
    PIVOTS of them, so that a large group of near copies hangs together). Members of one component need no
-   further comparison. For two members x, y of different components the pivot's distances bound theirs
-   (|d(p,x) - d(p,y)| <= d(x,y), Jaccard distance being a metric), so most answers of x follow from those of p.
-4. Block skipping: what is left of a long list is cut into blocks ordered by size, with their ranges of size and position;
-   pairs of blocks whose ranges rule a link out are skipped whole, the rest are filtered pair by pair.
+   further comparison. For two members x, y of different components the answer follows incrementally from the pivot's answers:
+   |x & y| is at most |p & y| + |x - p| and at least |p & x| + |p & y| - |p|. All in integers, so pairs at exactly 3/4 are decided rightly.
+4. Block skipping: what is left of a long list is cut into blocks by ranges of size (from the histogram of the list, so no list is ordered in
+   one task), with their ranges of size and position; pairs of blocks whose ranges rule a link out are skipped whole, the rest are filtered pair by pair.
 5. A candidate pair is first bounded by sketches (how many shingles fall in each of as many cells as there are shingles: the
    smaller of two cells bounds what they share), then what is left is verified by whole sets.
 
@@ -202,7 +202,7 @@ def set_rows(base: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, far): far is a lower bound of the Jaccard distance, by sketches."""
+    """(a, b, most, open): most bounds the common shingles by sketches; open: a link is possible."""
     side = lambda k: classes.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
@@ -211,9 +211,9 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             na, nb = pdf["na"].to_numpy(), pdf["nb"].to_numpy()
             least = np.minimum(na, nb)
             most = np.array([min(m, most_common(x, y, m)) for x, y, m in zip(pdf["sa"], pdf["sb"], least, strict=True)], np.int64)
-            yield pdf[["a", "b"]].assign(far=1 - most / np.maximum(1, na + nb - most), open=7 * most >= 3 * (na + nb))
+            yield pdf[["a", "b"]].assign(most=most, open=7 * most >= 3 * (na + nb))
 
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInPandas(run, "a long, b long, far double, open boolean")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInPandas(run, "a long, b long, most long, open boolean")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -236,66 +236,86 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "da", "db", "fa", "fb").mapInPandas(run, columns)
 
 
+def derived(x: str, y: str) -> tuple[Column, Column]:
+    """Least and most common shingles of two sets, derived from what each shares with the pivot: at most what one shares and the
+    other has besides, at least what both share less the pivot's size."""
+    of = lambda s, c: F.col(f"{s}.{c}")
+    most = F.least(of(x, "high") + of(y, "size") - of(y, "low"), of(y, "high") + of(x, "size") - of(x, "low"))
+    return of(x, "low") + of(y, "low") - of(x, "psize"), most
+
+
 def short_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) that sizes, positions, components and pivot distances leave open, over short lists."""
+    """Pairs (a, b, known) that sizes, positions, components and the pivot's answers leave open, over short lists; known: these
+    answers alone make it a link."""
     x, y = lists.alias("x"), lists.alias("y")
-    apart = (F.col("x.near") - F.col("y.far") > 0.25) | (F.col("y.near") - F.col("x.far") > 0.25)
+    least, most = derived("x", "y")
+    need = 3 * (F.col("x.size") + F.col("y.size"))
     met = x.join(
         y,
         (F.col("x.h") == F.col("y.h"))
         & (F.col("x.cid") < F.col("y.cid"))
         & (F.col("x.root") != F.col("y.root"))
         & may_link(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"))
-        & ~apart,
+        & (7 * most >= need),
     )
-    return met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    return met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), (7 * least >= need).alias("known"))
+
+
+def cut_lists(lists: DataFrame) -> DataFrame:
+    """Long lists with a block each row: ranges of size with about BLOCK members. Only the histogram of a list (one row for each size) is
+    ordered; sizes with more members than BLOCK are spread over salts, so no list meets in one task."""
+    sizes = lists.groupBy("h", "size").count()
+    before = F.sum("count").over(Window.partitionBy("h").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
+    slots = sizes.select("h", "size", F.floor(F.coalesce(before, F.lit(0)) / BLOCK).alias("slot"), F.ceil(F.col("count") / BLOCK).alias("salts"))
+    salt = F.pmod(F.xxhash64("cid"), F.col("salts"))
+    return lists.join(slots, ["h", "size"]).withColumn("block", F.col("slot") * (1 << 20) + salt).drop("slot", "salts")
 
 
 def block_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
     """The same over long lists, by blocks; only pairs that their sketches leave open come out."""
-    lists = lists.join(classes.select("cid", "sketch"), "cid")
-    place = Window.partitionBy("h").orderBy("size", "cid")
-    cut = lists.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK))
-    blocks = cut.groupBy("h", "block").agg(
-        *[F.collect_list(c).alias(c) for c in ("cid", "size", "pos", "root", "near", "far", "sketch")],  # at most BLOCK each
-        F.min("size").alias("low"),
-        F.max("size").alias("high"),
+    parts = ("cid", "size", "pos", "root", "low", "high", "sketch")
+    blocks = cut_lists(lists).join(classes.select("cid", "sketch"), "cid").groupBy("h", "block").agg(
+        *[F.collect_list(c).alias(c) for c in parts],  # about BLOCK each
+        F.first("psize").alias("psize"),
+        F.min("size").alias("size0"),
+        F.max("size").alias("size1"),
         F.min("pos").alias("first"),
         F.min("root").alias("root0"),
         F.max("root").alias("root1"),
     )
     x, y = blocks.alias("x"), blocks.alias("y")
+    # blocks are in the order of size, but for those of one size, which any order suits
     met = x.join(
         y,
         (F.col("x.h") == F.col("y.h"))
         & (F.col("x.block") <= F.col("y.block"))
-        & (4 * F.col("x.high") >= 3 * F.col("y.low"))
-        & (7 * (F.least(F.col("x.high") - F.col("x.first"), F.col("y.high") - F.col("y.first"))) >= 3 * (F.col("x.low") + F.col("y.low")))
+        & (4 * F.col("x.size1") >= 3 * F.col("y.size0"))
+        & (7 * (F.least(F.col("x.size1") - F.col("x.first"), F.col("y.size1") - F.col("y.first"))) >= 3 * (F.col("x.size0") + F.col("y.size0")))
         & ((F.col("x.root0") != F.col("x.root1")) | (F.col("y.root0") != F.col("y.root1")) | (F.col("x.root0") != F.col("y.root0"))),
     )
-    parts = ("cid", "size", "pos", "root", "near", "far", "sketch")
-    met = met.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in parts], (F.col("x.block") == F.col("y.block")).alias("own"))
+    met = met.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in parts], "x.psize", (F.col("x.block") == F.col("y.block")).alias("own"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 left = lambda c: np.asarray(getattr(row, f"x_{c}"))[:, None]  # noqa: B023, E731
                 right = lambda c: np.asarray(getattr(row, f"y_{c}"))[None, :]  # noqa: B023, E731
-                ok = 7 * np.minimum(left("size") - left("pos"), right("size") - right("pos")) >= 3 * (left("size") + right("size"))
+                need = 3 * (left("size") + right("size"))
+                ok = 7 * np.minimum(left("size") - left("pos"), right("size") - right("pos")) >= need
                 ok &= left("root") != right("root")
-                ok &= (left("near") - right("far") <= 0.25) & (right("near") - left("far") <= 0.25)
+                ok &= 7 * np.minimum(left("high") + right("size") - right("low"), right("high") + left("size") - left("low")) >= need
                 if row.own:
                     ok &= np.tri(*ok.shape, k=-1, dtype=bool).T
                 i, j = np.nonzero(ok)
-                need = 3 * (left("size")[i, 0] + right("size")[0, j])
                 least = np.minimum(left("size")[i, 0], right("size")[0, j])
                 most = [most_common(row.x_sketch[x], row.y_sketch[y], m) for x, y, m in zip(i, j, least, strict=True)]
-                open_pairs = 7 * np.array(most, np.int64) >= need
+                open_pairs = 7 * np.array(most, np.int64) >= need[i, j]
                 i, j = i[open_pairs], j[open_pairs]
                 a, b = left("cid")[i, 0], right("cid")[0, j]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                known = 7 * (left("low")[i, 0] + right("low")[0, j] - row.psize) >= need[i, j]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "known": known})
 
-    return met.mapInPandas(run, "a long, b long").filter("a <> b")
+    return met.mapInPandas(run, "a long, b long, known boolean").filter("a <> b")
 
 
 def jaccard_components(
@@ -336,20 +356,26 @@ def jaccard_components(
     known = lists.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     open_lists = known.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"), F.min("cid").alias("p"))
     open_lists = open_lists.filter("r0 <> r1 and n > 2").select("h", "p", "n")
-    exact = answers.groupBy("a", "b").agg(F.max(1 - F.col("common") / F.col("total")).alias("d"))
-    dist = pairs.join(exact, ["a", "b"], "left").select(
-        F.col("a").alias("p"), F.col("b").alias("cid"), F.coalesce("d", "far").alias("near"), F.coalesce("d", F.lit(1.0)).alias("far")
+    exact = answers.groupBy("a", "b").agg(F.max("common").alias("c"))
+    dist = pairs.join(exact, ["a", "b"], "left").join(classes.select(F.col("cid").alias("a"), F.col("n").alias("psize")), "a").select(
+        F.col("a").alias("p"), F.col("b").alias("cid"), "psize", F.coalesce("c", F.lit(0)).alias("low"), F.coalesce("c", "most").alias("high")
     )
-    rest = known.join(open_lists, "h").filter("cid <> p").join(dist, ["p", "cid"], "left").fillna(0.0, ["near"]).fillna(1.0, ["far"])
-    # near and far: the least and the greatest distance to the pivot that is possible
+    rest = known.join(open_lists, "h").filter("cid <> p").join(dist, ["p", "cid"], "left")
+    # low and high: the least and the most that a member can share with the pivot
+    rest = rest.withColumn("low", F.coalesce("low", F.lit(0))).withColumn("high", F.coalesce("high", "size")).withColumn("psize", F.coalesce("psize", F.lit(1 << 40)))
     rest = rest.filter((F.col("n") <= SHORT_LIST) | (F.col("rank") >= PIVOTS))  # pivots of long lists have asked all members
-    rest = written(rest.select("h", "cid", "size", "pos", "root", "near", "far", "n"), folder, "rest")
+    rest = written(rest.select("h", "cid", F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos"), "root", "low", "high", "psize", "n"), folder, "rest")
     more = short_pairs(rest.filter(F.col("n") <= SHORT_LIST)).unionByName(block_pairs(rest.filter(F.col("n") > SHORT_LIST), classes))
-    more = written(bounded(more.distinct().join(pairs, ["a", "b"], "left_anti"), classes).filter("open"), folder, "more")
+    more = more.groupBy("a", "b").agg(F.max("known").alias("known")).join(pairs, ["a", "b"], "left_anti")
+    more = written(more, folder, "open")
+    told = more.filter("known")
+    more = written(bounded(more.filter("not known").select("a", "b"), classes).filter("open"), folder, "more")
     more_sets = whole_sets(nodes_of(more).join(nodes, "cid", "left_anti"), "more_sets")
     late = verified(more, sets.unionByName(more_sets)).filter("7 * common >= 3 * (common + total)")
 
     links = linked.select(F.col("da").alias("u"), F.col("db").alias("v")).unionByName(late.select(F.col("da").alias("u"), F.col("db").alias("v")))
+    named = lambda c, out: classes.select(F.col("cid").alias(c), F.col("digest").alias(out))
+    links = links.unionByName(told.join(named("a", "u"), "a").join(named("b", "v"), "b").select("u", "v"))
     members = components(links, folder, "all")
     reach = classes.join(members.withColumnRenamed("node", "digest"), "digest")
     least = reach.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -360,23 +386,19 @@ def jaccard_components(
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """docs with one row of each component: that of the least id. Rows are told apart by a hash of all their columns,
-    so null and repeated ids lose no other document; of rows that are equal throughout one stays, blank texts too."""
+    """docs with one row of each component: that of the least id, of rows with one id the first. Rows are numbered and written once, so null and
+    repeated ids and columns of any type lose no other document; blank texts link with nothing and all stay."""
     folder = folder or shared_folder(docs.sparkSession)
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
-    found = jaccard_components(keyed.select("key", F.col(f"row.`{text}`").alias("text")), width, "key", "text", folder)
-    ids = keyed.groupBy("key").agg(F.min(f"row.`{doc_id}`").alias("id"), F.count("*").alias("n"))
-    placed = found.select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids, "key")
-    first = F.min(F.struct(F.coalesce(F.col("id").isNull(), F.lit(False)), "id", "key"))
-    best = placed.groupBy("component_id").agg(first["key"].alias("best"))
-    judged = written(placed.join(best, "component_id").select("key", "n", (F.col("key") == F.col("best")).alias("stays")), folder, "judged")
-    gone = judged.filter("not stays or n > 1").select("key").distinct()
-    again = judged.filter("stays and n > 1").select("key").distinct()
-    sized = lambda keys: F.broadcast(keys) if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else keys
-    whole = keyed.join(sized(gone), "key", "left_anti")
-    repeated = keyed.join(sized(again), "key", "left_semi").dropDuplicates(["key"])
-    return whole.select("row.*").unionByName(repeated.select("row.*"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key"))
+    keyed = written(keyed, folder, "numbered")
+    field = lambda name: F.col("row").getField(name)
+    found = jaccard_components(keyed.select("key", field(text).alias("text")), width, "key", "text", folder)
+    placed = found.select(F.col("doc_id").alias("key"), "component_id").join(keyed.select("key", field(doc_id).alias("id")), "key")
+    first = F.min(F.struct(F.col("id").isNull().alias("blank"), "id", "key"))
+    best = placed.groupBy("component_id").agg(first["key"].alias("best"), F.count("*").alias("n")).filter("n > 1")
+    gone = written(placed.join(best, "component_id").filter("key <> best").select("key"), folder, "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return keyed.join(F.broadcast(gone) if few else gone, "key", "left_anti").select("row.*")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
