@@ -13,7 +13,7 @@ from statuta.llm.packing import op2_best_fit_packing
 from statuta.llm.pieces import op6_pieces
 from statuta.llm.quality import OP1_SQL, op1_quality_rules
 from statuta.llm.secrets import op4_secret_scans
-from statuta.llm.sharding import op9_sharding
+from statuta.llm.sharding import OP9_SQL, op9_sharding
 from statuta.llm.toxicity import op7_toxicity
 from statuta.llm.urls import OP5_SQL, op5_url_filters
 
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op5_url_filters": OP5_SQL, "op8_lm_scoring": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op5_url_filters": OP5_SQL, "op8_lm_scoring": OP8_SQL, "op9_sharding": OP9_SQL}

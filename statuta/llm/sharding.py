@@ -1,12 +1,14 @@
 """Operator 9: sharding by extendible hashing.
 
-A document's key hash gives a string of 64 bits. The directory starts with one bucket; a bucket whose bytes
+A document's key and text give a string of 60 hash bits. The directory starts with one bucket; a bucket whose bytes
 exceed the limit splits on its next bit, and only such buckets split. A shard is therefore the shortest
 prefix whose bytes fit. The directory is found without a loop over splits: bytes are summed per hash prefix
 of a fixed depth, rolled up to every shorter prefix, and each prefix cell takes its shortest fitting prefix.
 Prefixes that still exceed the limit go on, the same way, with further bits.
 
-Defined results: a null key hashes like any value; a null text has 0 bytes; one row larger than the limit is
+No step brings a hot prefix together: sums are partial first, and a step rolls up at most 2**STEP_BITS cells under an open prefix.
+
+Defined results: an empty table gives no rows. A null key hashes like any value; a null text has 0 bytes; one row larger than the limit is
 a shard of its own (oversized). Rows whose key and text are all equal cannot be parted by a hash: when their
 bucket still exceeds the limit at the last bit, it gets overflow pages, each within the limit, numbered from 1.
 """
@@ -28,8 +30,10 @@ def prefix(bits: Column, depth: Column | int) -> Column:
     return F.substring(bits, F.lit(1), depth if isinstance(depth, Column) else F.lit(depth))
 
 
-def key_bits(*columns: Column) -> Column:
-    return F.lpad(F.bin(F.xxhash64(*columns)), 64, "0")
+def hash_bits(value: Column, digits: int) -> Column:
+    """The first hex digits of a value's md5 as bits; null counts as a value of its own."""
+    whole = F.md5(F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("")))
+    return F.lpad(F.conv(F.substring(whole, 1, digits), 16, 2), 4 * digits, "0")
 
 
 def split_cells(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
@@ -50,7 +54,7 @@ def shard(
     base = pick(rows, key=key, text=text).select(
         "key",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.substring(F.concat(F.substring(key_bits(F.col("key")), 1, 44), F.substring(key_bits(F.col("text")), 1, 16)), 1, LAST_BIT).alias("bits"),
+        F.concat(hash_bits(F.col("key"), 11), hash_bits(F.col("text"), 4)).alias("bits"),
     )
     spark = rows.sparkSession
     folder = folder or shared_folder(spark)
@@ -72,11 +76,16 @@ def shard(
         placed = placed.withColumn("cell", prefix(F.col("bits"), high)).join(cell, "cell", "left")
         placed = placed.select("key", "n_bytes", "bits", F.coalesce("depth", "found").cast("int").alias("depth"))
     fitting = placed.filter(F.col("depth").isNotNull()).withColumn("page", F.lit(0))
-    # Rows that no bit parts: pages by running bytes, each page opened by the row that would overflow the last.
-    same = Window.partitionBy("bits").orderBy("n_bytes", "key")
-    per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.max("n_bytes").over(Window.partitionBy("bits")))))
-    over = placed.filter(F.col("depth").isNull()).withColumn("page", (1 + F.floor((F.row_number().over(same) - 1) / per_page)).cast("int"))
-    over = over.withColumn("depth", F.lit(LAST_BIT))
+    # Rows that no bit parts are paged by their number: rows are counted per partition of what is written, so none are brought together.
+    over = written(placed.filter(F.col("depth").isNull()).withColumn("part", F.spark_partition_id()), folder, "overflow")
+    counts = over.groupBy("bits", "part").agg(F.count("*").alias("n"), F.max("n_bytes").alias("longest"))
+    parts = Window.partitionBy("bits").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    longest = F.max("longest").over(Window.partitionBy("bits"))
+    places = counts.select("bits", "part", F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("before"), longest.alias("longest"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("bits", "part").orderBy("n_bytes", "key")) - 1
+    per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.col("longest"))))
+    over = over.join(places, ["bits", "part"]).withColumn("page", (1 + F.floor(number / per_page)).cast("int"))
+    over = over.withColumn("depth", F.lit(LAST_BIT)).select("key", "n_bytes", "bits", "depth", "page")
     return fitting.unionByName(over).select(
         F.col("key").alias(key),
         "n_bytes",
@@ -88,4 +97,17 @@ def shard(
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"))
+    return shard(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "shard_id", "depth", "page", "oversized")
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+    lpad(bin(('0x' || substr(md5(coalesce('=' || doc_id::VARCHAR, '')), 1, 11))::UBIGINT), 44, '0')
+    || lpad(bin(('0x' || substr(md5(coalesce('=' || text, '')), 1, 4))::UBIGINT), 16, '0') AS bits FROM documents),
+ups AS (SELECT rn, n_bytes, bits, unnest(generate_series(0, {LAST_BIT})) AS depth FROM d),
+sums AS (SELECT depth, bits[1:depth] AS up FROM ups GROUP BY 1, 2 HAVING sum(n_bytes) <= {SHARD_BYTES} OR count(*) <= 1),
+found AS (SELECT rn, min(u.depth) AS depth FROM ups u JOIN sums s ON s.depth = u.depth AND s.up = u.bits[1:u.depth] GROUP BY rn),
+paged AS (SELECT d.*, depth, CASE WHEN depth IS NOT NULL THEN 0 ELSE 1 + (row_number() OVER (PARTITION BY bits ORDER BY n_bytes) - 1)
+    // greatest(1, {SHARD_BYTES} // greatest(1, max(n_bytes) OVER (PARTITION BY bits))) END AS page FROM d LEFT JOIN found USING (rn))
+SELECT doc_id, n_bytes, bits[1:coalesce(depth, {LAST_BIT})] || '-' || page AS shard_id, coalesce(depth, {LAST_BIT})::INT AS depth, page::INT AS page,
+    n_bytes > {SHARD_BYTES} AS oversized FROM paged"""

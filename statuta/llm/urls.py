@@ -6,10 +6,12 @@ Entries of one pattern become validity intervals [listed_on, next listed_on). Ev
 patterns (host suffixes, host and path prefixes), and an as-of join finds those active at its fetch time.
 The longest active pattern decides: 'block' rejects, 'allow' keeps; no active entry keeps.
 
-The list is broadcast only if it has no more than BROADCAST_ENTRIES rows; beyond that, distinct candidates are
-looked up by a shuffle join, with hot candidates salted.
+The list is broadcast only if it has no more than BROADCAST_ENTRIES rows; beyond that, the candidates of distinct captures are
+looked up by a salted shuffle join.
 
-Defined results: a null or host-less URL matches nothing and is kept; a null fetch time matches nothing; two
+Hosts are compared without port and final dots; an IP address is matched whole, never by its last numbers.
+
+Defined results: empty tables give no rows or no matches; very long URLs have all their path prefixes. A null or host-less URL matches nothing and is kept; a null fetch time matches nothing; two
 entries of one pattern on one date: the action that comes first in the order block, allow, drop holds.
 Repeated captures give a row each.
 """
@@ -24,7 +26,6 @@ from statuta.session import table
 
 BROADCAST_ENTRIES = 200_000
 SALTS = 16
-MAX_PARTS = 12
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -37,8 +38,9 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def host_of(url: Column) -> Column:
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    return F.nullif(host, F.lit(""))
+    """Lower-cased host without port and final dots; an IPv6 address keeps its brackets."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1))
+    return F.nullif(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -50,6 +52,8 @@ def candidates(url: Column) -> Column:
     host, parts = host_of(url), F.split(host_of(url), r"\.")
     n = F.size(parts)
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, i, n), "."), F.lit("/")))
+    address = host.rlike(r"^(?:\d+(?:\.\d+){3}|\[.*\])$")  # an address has no subdomains
+    suffixes = F.when(address, F.array(F.concat(host, F.lit("/")))).otherwise(suffixes)
     steps = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
     paths = F.transform(
         steps, lambda _, i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i + 1), "/"), F.lit("/"))
@@ -64,13 +68,11 @@ def filter_urls(
     base = pick(captures, capture_id=capture_id, url=url, fetched_at=fetched_at)
     spans = intervals(entries)
     n_entries = entries.limit(BROADCAST_ENTRIES + 1).count()
-    keyed = base.withColumn("pattern", F.explode_outer(candidates(F.col("url"))))
-    inside = lambda a, b: (F.col(a) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(b) < F.col("valid_to")))
+    inside = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     if n_entries <= BROADCAST_ENTRIES:
-        # One map-like lookup per row: the join needs no shuffle of captures, and each row decides over its own candidates.
-        spans = F.broadcast(spans)
+        # Candidates of a capture stay in its task up to the partial aggregation: one row a capture is shuffled.
         rows = base.withColumn("row", F.monotonically_increasing_id()).withColumn("pattern", F.explode_outer(candidates(F.col("url"))))
-        hits = rows.join(spans.withColumnRenamed("pattern", "listed"), (F.col("pattern") == F.col("listed")) & inside("fetched_at", "fetched_at"), "left")
+        hits = rows.join(F.broadcast(spans.withColumnRenamed("pattern", "listed")), (F.col("pattern") == F.col("listed")) & inside, "left")
         won = hits.groupBy("row").agg(
             F.first("capture_id").alias("capture_id"),
             F.first("url").alias("url"),
@@ -79,12 +81,11 @@ def filter_urls(
         )
         decided = won.select("capture_id", "url", "fetched_at", "won.pattern", "won.action")
     else:
-        times = keyed.select("pattern", "fetched_at").where("pattern is not null and fetched_at is not null").distinct()
-        salted = times.withColumn("salt", F.pmod(F.xxhash64("fetched_at"), F.lit(SALTS)))
+        # Each distinct capture is judged once. Captures of one host are spread over SALTS, to each of which the host's entries go.
+        urls = base.select("url", "fetched_at").where("url is not null and fetched_at is not null").distinct()
+        asked = urls.withColumn("salt", F.pmod(F.xxhash64("url", "fetched_at"), F.lit(SALTS))).withColumn("pattern", F.explode(candidates(F.col("url"))))
         spread = spans.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        active = salted.join(spread, ["pattern", "salt"]).filter(inside("fetched_at", "fetched_at")).select("pattern", "fetched_at", "action")
-        urls = base.select("url", "fetched_at").distinct().withColumn("pattern", F.explode(candidates(F.col("url"))))
-        best = urls.join(active, ["pattern", "fetched_at"]).groupBy("url", "fetched_at").agg(
+        best = asked.join(spread, ["pattern", "salt"]).filter(inside).groupBy("url", "fetched_at").agg(
             F.max_by(F.struct("pattern", "action"), F.length("pattern")).alias("won")
         )
         decided = base.join(best, ["url", "fetched_at"], "left").select("capture_id", "url", "fetched_at", "won.pattern", "won.action")
