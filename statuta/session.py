@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,14 +37,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors share, under spark.checkpoint.dir.
 
-    Only a session without that setting (tests, one machine) gets a temporary folder.
+    Where that is unset, one machine (a local master, as in tests) gets a temporary folder that goes with the process; a cluster gets one
+    under the warehouse, which its executors share.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local"):
         base = tempfile.mkdtemp(prefix="spark-statuta-", dir="/tmp")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/statuta-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate tables, in whatever store it is; call it when what was read from it is no longer used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Cut lineage: write df to the shared folder as Parquet and read it again."""
     path = f"{folder}/{name}"
