@@ -198,24 +198,31 @@ def lm_scores(
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order 2, which OP8_SQL says."""
-    return lm_scores(table(spark, sf_dir, "documents"), order=2).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+    """The production order, 3."""
+    return lm_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
 
 
-def op8_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The production order; only this one tells apart texts that differ beyond word pairs."""
-    return lm_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+def op8_lm_scoring_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order 2."""
+    return lm_scores(table(spark, sf_dir, "documents"), order=2).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
 
 
-OP8_SQL = r"""
+COUNTS_SQL = r"""
 WITH worded AS (SELECT row_number() OVER () AS rn, doc_id,
     list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
 tokens AS (SELECT rn, unnest(words) AS w, unnest(generate_series(1, len(words))) AS i FROM worded),
-pairs AS (SELECT rn, i, w, lag(w) OVER (PARTITION BY rn ORDER BY i) AS h FROM tokens),
+grams AS (SELECT rn, i, w, lag(w) OVER (PARTITION BY rn ORDER BY i) AS h, lag(w, 2) OVER (PARTITION BY rn ORDER BY i) AS g FROM tokens),
 one AS (SELECT w, count(*) AS c FROM tokens GROUP BY w),
-two AS (SELECT h, w, count(*) AS c FROM pairs WHERE h IS NOT NULL GROUP BY h, w HAVING count(*) >= 2),
-total AS (SELECT count(*) AS n FROM tokens),
-logs AS (SELECT rn, CASE WHEN h IS NULL THEN ln(one.c / total.n) WHEN two.c IS NOT NULL THEN ln(two.c / hist.c) ELSE ln(0.4) + ln(one.c / total.n) END AS s
-    FROM pairs JOIN one USING (w) CROSS JOIN total LEFT JOIN two USING (h, w) LEFT JOIN one hist ON hist.w = h)
-SELECT doc_id, len(words)::BIGINT AS n_words, round(coalesce(sum(s), 0), 4) AS log_score FROM worded LEFT JOIN logs USING (rn) GROUP BY rn, doc_id, len(words)
-"""
+two AS (SELECT h, w, count(*) AS c FROM grams WHERE h IS NOT NULL GROUP BY h, w HAVING count(*) >= 2),
+three AS (SELECT g, h, w, count(*) AS c FROM grams WHERE g IS NOT NULL GROUP BY g, h, w HAVING count(*) >= 2),
+total AS (SELECT count(*) AS n FROM tokens)"""
+SHORT_SQL = "CASE WHEN h IS NULL THEN ln(one.c / total.n) WHEN two.c IS NOT NULL THEN ln(two.c / hist.c) ELSE ln(0.4) + ln(one.c / total.n) END"
+SCORES_SQL = "SELECT doc_id, len(words)::BIGINT AS n_words, round(coalesce(sum(s), 0), 4) AS log_score FROM worded LEFT JOIN logs USING (rn) GROUP BY rn, doc_id, len(words)"
+OP8_BIGRAMS_SQL = f"""{COUNTS_SQL},
+logs AS (SELECT rn, {SHORT_SQL} AS s FROM grams JOIN one USING (w) CROSS JOIN total LEFT JOIN two USING (h, w) LEFT JOIN one hist ON hist.w = h)
+{SCORES_SQL}"""
+OP8_SQL = f"""{COUNTS_SQL},
+logs AS (SELECT rn, CASE WHEN g IS NULL THEN {SHORT_SQL} WHEN three.c IS NOT NULL THEN ln(three.c / pair.c) ELSE ln(0.4) + {SHORT_SQL} END AS s
+    FROM grams JOIN one USING (w) CROSS JOIN total LEFT JOIN two USING (h, w) LEFT JOIN one hist ON hist.w = h
+    LEFT JOIN three USING (g, h, w) LEFT JOIN two pair ON pair.h = grams.g AND pair.w = grams.h)
+{SCORES_SQL}"""

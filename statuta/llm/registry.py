@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from statuta.llm.ann import op10_nearest_neighbours
 from statuta.llm.jaccard import OP3_SQL, op3_jaccard_join
-from statuta.llm.lm import OP8_SQL, op8_lm_scoring, op8_lm_scoring_trigrams
+from statuta.llm.lm import OP8_BIGRAMS_SQL, OP8_SQL, op8_lm_scoring, op8_lm_scoring_bigrams
 from statuta.llm.packing import op2_best_fit_packing
 from statuta.llm.pieces import op6_pieces
 from statuta.llm.quality import OP1_SQL, op1_quality_rules
@@ -28,11 +28,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pieces": op6_pieces,
         "op7_toxicity": op7_toxicity,
         "op8_lm_scoring": op8_lm_scoring,
-        "op8_lm_scoring_trigrams": op8_lm_scoring_trigrams,
+        "op8_lm_scoring_bigrams": op8_lm_scoring_bigrams,
         "op9_sharding": op9_sharding,
         "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op5_url_filters": OP5_SQL, "op8_lm_scoring": OP8_SQL, "op9_sharding": OP9_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op5_url_filters": OP5_SQL, "op8_lm_scoring": OP8_SQL, "op8_lm_scoring_bigrams": OP8_BIGRAMS_SQL, "op9_sharding": OP9_SQL}

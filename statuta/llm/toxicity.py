@@ -8,8 +8,8 @@ restored text is then scored: a logistic regression over a lexicon of words and
 the labels apart.
 
 Training uses at most about TRAIN_ROWS labelled rows (a hash sample when there are more), never those whose
-crc32(doc_id) mod 5 is 0; equal texts count once. The weights are fitted on the driver from the lexicon entries of those rows. Only text is ever an input of a score. The lexicon (MAX_LEXICON words)
-and the trigram table (bounded by the alphabet) go to every task.
+crc32(doc_id) mod 5 is 0; equal texts count once. The weights are fitted on the driver from the lexicon entries of those rows. Only text is ever an input of a score. The lexicon (words and beginnings
+found in MIN_SHARE of a label's texts) and the trigram table (bounded by the alphabet) go to every task.
 
 Defined results: null and empty texts get the score of a text without words. Without labelled rows, or with one label
 only, every score is the share of label 1 (0 without rows). A null label or id does not train; repeated
@@ -34,10 +34,9 @@ from statuta.llm.common import pick, slices
 from statuta.session import table
 
 TRAIN_ROWS = 20_000
-MAX_LEXICON = 4096
-MIN_TEXTS = 5  # a lexicon entry is in at least so many training texts
+MIN_TEXTS = 3  # a lexicon entry is in at least so many training texts
 MIN_SHARE = 0.01  # and in at least this share of the texts of one label
-MIN_G = 25.0  # and its log-likelihood ratio statistic is at least this
+MIN_G = 12.0  # and its log-likelihood ratio statistic is at least this
 BEGINNINGS = (4, 5, 6, 7)  # letters of word beginnings
 STEPS, RATE, RIDGE = 400, 0.3, 1.0
 
@@ -130,13 +129,15 @@ def entries(word: str) -> list[str]:
 class Restorer:
     """Texts to sets of lexicon entries of their restored words (all entries without a lexicon); remembers tokens, up to a bound."""
 
-    REMEMBERED = 200_000
+    REMEMBERED = 60_000
 
     def __init__(self, model: CharModel, lexicon: set[str] | None = None):
         self.model, self.lexicon, self.known = model, lexicon, {}
 
     def token(self, token: str) -> tuple[str, ...]:
         core = EDGES.sub("", token)
+        if token[:64].strip("".join(LOOKALIKES)) == "" and 2 < len(token) <= 64 and "*" not in token:
+            return tuple(viterbi(token, self.model))  # digits and signs alone, each of which imitates a letter
         if not core or core.isdigit():
             return ()
         if core.isalpha() and core == token and not REPEATED.search(core):
@@ -228,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     marks = marks.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     there = marks.count()
     if there > rows:
-        marks = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * rows / there))
+        marks = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 50)) < (1 << 50) * rows // there)
     texts = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(marks), "doc_id")  # at most about `rows` ids
     texts = texts.groupBy(F.xxhash64("text").alias("digest")).agg(F.max("label").alias("label"), F.min_by("text", "doc_id").alias("text"))
     chars = char_model(docs, text)
@@ -250,9 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         share = min(max(n / max(1, n + m), 1e-9), 1 - 1e-9)
         return ToxicModel(chars, {}, math.log(share / (1 - share)))
     often = counts.filter((F.col("entry") != "") & ((F.col("a") >= MIN_SHARE * n) | (F.col("b") >= MIN_SHARE * m)))
-    lift = F.abs(F.col("a") / n - F.col("b") / m)
-    top = often.orderBy(lift.desc(), "entry").limit(MAX_LEXICON).collect()
-    lexicon = sorted(r["entry"] for r in top if g_test(r["a"], n, r["b"], m) >= MIN_G)
+    # A text has so many entries; those in MIN_SHARE of the texts of a label are at most a few hundred times as many.
+    lexicon = sorted(r["entry"] for r in often.collect() if g_test(r["a"], n, r["b"], m) >= MIN_G)
     place = {e: i for i, e in enumerate(lexicon)}
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,7 +16,7 @@ def test_trigrams_over_the_whole_corpus(docs, monkeypatch, tmp_path):
     texts += [f"u{i % 7} v{i % 3} t{i % 5} a b" for i in range(60)] + [None, "", "b", "a b"]
     d = docs(list(enumerate(texts)))
     d.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["log_score"] for r in registry.queries()["op8_lm_scoring_trigrams"](d.sparkSession, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["log_score"] for r in registry.queries()["op8_lm_scoring"](d.sparkSession, str(tmp_path)).collect()}
     words = [(t or "").split() for t in texts]
     counts = Counter(tuple(w[i : i + k]) for w in words for k in (1, 2, 3) for i in range(len(w) - k + 1))
     total = sum(map(len, words))
