@@ -90,26 +90,6 @@ def iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 ISO_DATES_SQL = """SELECT o_orderkey, 2::BIGINT AS n_dates, o_orderdate::DATE::VARCHAR AS first, (o_orderdate::DATE + 30)::VARCHAR AS second FROM orders"""
 
 
-def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = structure.classified(structure.lines_of(docs(spark, sf_dir), "doc_id", "text"))
-    return rows.groupBy("node_type").agg(F.count("*").alias("n"), F.sum(F.length("title")).alias("title_chars"))
-
-
-LINE_CLASSES_SQL = r"""
-WITH l AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
-c AS (SELECT line, CASE
- WHEN regexp_matches(line, '^\s*(부\s*칙)\s*(.*)$') THEN 'supplementary'
- WHEN regexp_matches(line, '^\s*[\[【<]?\s*(별\s*표\s*(?:\d+(?:\s*(?:의|-)\s*\d+)?)?)\s*[\]】>]?\s*(.*)$') THEN 'appendix'
- WHEN regexp_matches(line, '^\s*[\[【<]?\s*(별\s*지\s*제?\s*\d*\s*호?\s*서식)\s*[\]】>]?\s*(.*)$') THEN 'form'
- WHEN regexp_matches(line, '^\s*(제\s*\d+\s*[편장절관])\s+(.+)$') THEN 'heading'
- WHEN regexp_matches(line, '^\s*(제\s*\d+\s*조(?:의\s*\d+)?)\s*(.*)$') THEN 'article'
- WHEN regexp_matches(line, '^\s*([①-⑳]|\(\d+\)|제\s*\d+\s*항)\s*(.*)$') THEN 'paragraph'
- WHEN regexp_matches(line, '^\s*(\d{1,3}\.|\d{1,3}\)|제\s*\d+\s*호)\s*(.+)$') THEN 'item'
- WHEN regexp_matches(line, '^\s*([가-하][.)])\s*(.+)$') THEN 'subitem' ELSE 'text' END AS node_type,
- trim(regexp_extract(line, '^\s*(\d{1,3}\.|\d{1,3}\)|제\s*\d+\s*호)\s*(.+)$', 2)) AS item_title FROM l WHERE trim(line) <> '')
-SELECT node_type, count(*)::BIGINT AS n, sum(CASE WHEN node_type = 'item' THEN length(item_title) ELSE 0 END)::BIGINT AS title_chars FROM c GROUP BY node_type"""
-
-
 def structure_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third line of a document made an article heading, then nodes and their line spans."""
     lines = structure.lines_of(docs(spark, sf_dir), "doc_id", "text")
@@ -212,7 +192,6 @@ QUERIES = {
     "redaction": (redaction, REDACTION_SQL),
     "retrieval_texts": (retrieval_texts, RETRIEVAL_TEXTS_SQL),
     "iso_dates": (iso_dates, ISO_DATES_SQL),
-    "line_classes": (line_classes, LINE_CLASSES_SQL),
     "structure_nodes": (structure_nodes, STRUCTURE_SQL),
     "chunk_windows": (chunk_windows, None),
     "chunk_validation": (chunk_validation, VALIDATION_SQL),
