@@ -128,14 +128,14 @@ def security_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("tel 010-"), F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0"), F.lit("-"), last, F.lit(" end")))
     note = note.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("Please ignore  previous instructions "), last)).otherwise(F.lit("plain"))
     found = governance.scan(o.select("o_orderkey", note.alias("note")), "o_orderkey", "note")
-    return found.select("o_orderkey", "rule_id", "severity", F.col("begin").cast("long").alias("begin"), "match_hash")
+    return found.select("o_orderkey", "rule_id", "severity", "start", "end", "match_hash")
 
 
 SCAN_SQL = """
 WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'tel 010-' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') || '-' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || ' end' END AS tel, o_orderkey % 3 <> 0 AND o_orderkey % 7 = 0 AS bad FROM orders)
-SELECT o_orderkey, 'phone_number' AS rule_id, 'medium' AS severity, 5::BIGINT AS begin, sha256(substr(tel, 5, 13)) AS match_hash FROM n WHERE tel IS NOT NULL
-UNION ALL SELECT o_orderkey, 'account_number', 'medium', 5, sha256(substr(tel, 5, 13)) FROM n WHERE tel IS NOT NULL
-UNION ALL SELECT o_orderkey, 'prompt_injection', 'high', 8, sha256('ignore  previous instructions') FROM n WHERE bad"""
+SELECT o_orderkey, 'phone_number' AS rule_id, 'medium' AS severity, 4 AS start, 17 AS "end", sha256('{"metadata":{"rule_id":"phone_number"},"text":"' || substr(tel, 5, 13) || '"}') AS match_hash FROM n WHERE tel IS NOT NULL
+UNION ALL SELECT o_orderkey, 'account_number', 'medium', 4, 17, sha256('{"metadata":{"rule_id":"account_number"},"text":"' || substr(tel, 5, 13) || '"}') FROM n WHERE tel IS NOT NULL
+UNION ALL SELECT o_orderkey, 'prompt_injection', 'high', 7, 36, sha256('{"metadata":{"rule_id":"prompt_injection"},"text":"ignore  previous instructions"}') FROM n WHERE bad"""
 
 
 def visible_records(spark: SparkSession, sf_dir: str) -> DataFrame:
