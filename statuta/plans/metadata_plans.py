@@ -93,15 +93,6 @@ def damaged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAMAGED_SQL = """SELECT doc_id, (CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END)::BIGINT AS n_damaged, (length(text) + CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END)::BIGINT AS n_left FROM documents"""
 
 
-def korean_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct tokens by the fallback tokenizer (no Korean endings occur in these texts)."""
-    d = table(spark, sf_dir, "benchmark")
-    return d.select("item_id", F.size(korean_tokens(F.col("text"))).cast("long").alias("n"))
-
-
-KOREAN_SQL = r"""SELECT item_id, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')))::BIGINT AS n FROM benchmark"""
-
-
 def batch_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of two batches (even and odd documents) by language, side by side."""
     d = table(spark, sf_dir, "documents")
@@ -184,7 +175,6 @@ QUERIES = {
     "version_order": (version_order, VERSION_SQL),
     "answer_intents": (answer_intents, INTENTS_SQL),
     "damaged_text": (damaged_text, DAMAGED_SQL),
-    "korean_token_counts": (korean_token_counts, KOREAN_SQL),
     "batch_delta": (batch_delta, DELTA_SQL),
     "expectation_check": (expectation_check, EXPECT_SQL),
     "fixture_selection": (fixture_selection, FIXTURE_SQL),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.plans import book_plans, gate_plans, governance_plans, metadata_plans, relational_plans, report_plans, retrieval_plans, text_plans
+from statuta.plans import book_plans, gate_plans, governance_plans, metadata_plans, relational_plans, report_plans, retrieval_plans, search_plans, text_plans
 
-ALL = {**text_plans.QUERIES, **metadata_plans.QUERIES, **retrieval_plans.QUERIES, **relational_plans.QUERIES, **report_plans.QUERIES, **book_plans.QUERIES, **gate_plans.QUERIES, **governance_plans.QUERIES}
+ALL = {**text_plans.QUERIES, **metadata_plans.QUERIES, **retrieval_plans.QUERIES, **relational_plans.QUERIES, **report_plans.QUERIES, **book_plans.QUERIES, **gate_plans.QUERIES, **governance_plans.QUERIES, **search_plans.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -96,16 +96,6 @@ CATALOG_SQL = """SELECT p_partkey, score::BIGINT AS score FROM (SELECT p_partkey
 + (CASE WHEN contains(lower(p_name), 'part') THEN 24 ELSE 0 END) + (CASE WHEN contains(lower(p_brand), 'part') THEN 18 ELSE 0 END) AS score FROM part) WHERE score > 0"""
 
 
-def structured_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A base score plus capped boosts for title, locator and attachment, as each document's language, source and length stand for them."""
-    title = F.least(F.lit(18), 6 + F.length("source"))
-    boost = F.when(F.col("lang") == "en", title).otherwise(0) + F.when(F.col("n_chars") % 2 == 0, 16).otherwise(2) + F.when(F.col("n_chars") % 5 == 0, 22).otherwise(8)
-    return table(spark, sf_dir, "documents").select("doc_id", F.least(boost, F.lit(64)).cast("long").alias("boost"))
-
-
-BOOSTS_SQL = """SELECT doc_id, least(64, (CASE WHEN lang = 'en' THEN least(18, 6 + length(source)) ELSE 0 END) + (CASE WHEN n_chars % 2 = 0 THEN 16 ELSE 2 END) + (CASE WHEN n_chars % 5 = 0 THEN 22 ELSE 8 END))::BIGINT AS boost FROM documents"""
-
-
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and MRR: query = a source's label-1 documents, ranked by length within the source."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -179,7 +169,6 @@ QUERIES = {
     "embedding_integrity": (embedding_integrity, INTEGRITY_SQL),
     "lexical_search": (lexical_search, LEXICAL_SQL),
     "catalog_ranking": (catalog_ranking, CATALOG_SQL),
-    "structured_boosts": (structured_boosts, BOOSTS_SQL),
     "retrieval_quality": (retrieval_quality, QUALITY_SQL),
     "latency_stats": (latency_stats, LATENCY_SQL),
     "extractive_evidence": (extractive_evidence, EVIDENCE_SQL),
