@@ -69,3 +69,69 @@ def revision_events(text: Column) -> Column:
     """Bodies of '<개정 …>' marks: kind and first date."""
     marks = F.regexp_extract_all(text, F.lit(r"[<〈]\s*((?:신설|개정|삭제|전문개정|일부개정|전부개정)[^>〉]*)[>〉]"), 1)
     return F.transform(marks, lambda x: F.struct(F.regexp_extract(x, r"^(\S*?(?:신설|개정|삭제))", 1).alias("kind"), first_date(x).alias("on")))
+
+
+# Marks of revisions and of coming into force, and how near to one a date must stand.
+REVISED, IN_FORCE = ("개정", "일부개정", "전문개정", "전부개정", "타규정개정"), ("시행일", "시행", "효력", "적용일")
+NEAR = 90
+
+
+def near_dates(text: Column, words: tuple[str, ...]) -> Column:
+    """For each place of a word, in order: the date nearest to it within NEAR characters before or after."""
+    escaped = "|".join(words)
+    parts = F.split(F.coalesce(text, F.lit("")), f"(?=(?:{escaped}))")  # each part but the first begins with a word
+    length = lambda x: F.length(F.regexp_extract(x, f"^(?:{escaped})", 0))
+    # what stands before a word: the last NEAR characters of all parts before it
+    before = F.transform(parts, lambda x, i: F.right(F.array_join(F.slice(parts, F.lit(1), i), ""), F.lit(NEAR)))
+
+    def nearest(i: Column) -> Column:
+        own, left = F.get(parts, i), F.get(before, i)
+        after = F.substring(F.array_join(F.slice(parts, i + 1, F.size(parts)), ""), length(own) + 1, F.lit(NEAR))
+        ahead = F.regexp_extract(after, f"(?s)^(.*?)({PLAIN_DATE})", 2)
+        gap_ahead = F.when(ahead != "", F.length(F.regexp_extract(after, f"(?s)^(.*?)({PLAIN_DATE})", 1)))
+        behind = F.regexp_extract(left, f"(?s)^.*({PLAIN_DATE})", 1)
+        gap_behind = F.when(behind != "", F.length(F.regexp_extract(left, f"(?s)^.*{PLAIN_DATE}(.*)$", 1)))
+        pick = F.when(gap_ahead.isNull() | (gap_behind <= gap_ahead), behind).otherwise(ahead)
+        return first_date(F.nullif(pick, F.lit("")))
+
+    found = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(F.get(parts, i).rlike(f"^(?:{escaped})"), nearest(i)))
+    return F.filter(found, lambda d: d.isNotNull())
+
+
+def date_after(line: Column, words: tuple[str, ...]) -> Column:
+    """The date that stands closest after one of the words in a line."""
+    hits = [F.struct(F.length(F.regexp_extract(line, f"{w}(.*?){PLAIN_DATE}", 1)).alias("gap"), first_date(F.regexp_extract(line, f"{w}.*?({PLAIN_DATE})", 1)).alias("on")) for w in words]
+    made = F.filter(F.array(*hits), lambda x: x["on"].isNotNull())
+    return F.array_min(made)["on"]
+
+
+def leading_history(text: Column, lines: int = 300) -> Column:
+    """(revised, in_force): dates of the history at the head of a text, each once, of lines that name a revision or a coming into force."""
+    head = F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, lines)
+    dated = F.filter(head, lambda x: x.rlike(PLAIN_DATE))
+    revised = F.transform(F.filter(dated, lambda x: x.rlike("제정|개정")), lambda x: F.coalesce(date_after(x, ("제정", "개정")), first_date(x)))
+    force = F.transform(F.filter(dated, lambda x: x.rlike("시행|효력|적용일")), lambda x: F.coalesce(date_after(x, ("시행", "효력", "적용일")), F.array_max(all_dates(x))))
+    clean = lambda a: F.array_distinct(F.filter(a, lambda d: d.isNotNull()))
+    return F.struct(clean(revised).alias("revised"), clean(force).alias("in_force"))
+
+
+def validity_windows(effective: Column, overrides: Column, history: Column) -> Column:
+    """Windows (article, valid_from, source) of a document: its own start for '*', each article's override (article, effective), and the latest
+    start of its history (dates in order); each once."""
+    window = lambda article, start, source: F.struct(article.cast("string").alias("article"), start.cast("string").alias("valid_from"), F.lit(source).alias("source"))
+    none = F.array().cast("array<struct<article:string,valid_from:string,source:string>>")
+    own = F.when(effective.isNotNull(), F.array(window(F.lit("*"), effective, "document_effective_date"))).otherwise(none)
+    told = F.filter(F.coalesce(overrides, F.array().cast("array<struct<article:string,effective:date>>")), lambda o: (F.trim(o["article"]) != "") & o["effective"].isNotNull())
+    articles = F.transform(told, lambda o: window(o["article"], o["effective"], "article_effective_override"))
+    last = F.get(F.filter(history, lambda d: d.isNotNull()), F.size(F.filter(history, lambda d: d.isNotNull())) - 1)
+    late = F.when(last.isNotNull(), F.array(window(F.lit("*"), last, "latest_revision_history_effective_date"))).otherwise(none)
+    return F.array_distinct(F.concat(own, articles, late))
+
+
+def supplementary(text: Column) -> Column:
+    """(is_supplementary, identifier_date, boilerplate) of a provision: 부칙, its date in < >, and whether it says no more than when it comes into force."""
+    own = text.rlike(r"(?m)^\s*부\s*칙")
+    marked = first_date(F.regexp_extract(text, rf"부\s*칙\s*(?:[<〈(\[]\s*)?({PLAIN_DATE})", 1))
+    body = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*부\s*칙[^\n]*$", ""), r"\s+", " "))
+    plain = body.rlike(rf"^(?:제\s*\d+\s*조\s*\(\s*시행일\s*\)\s*)?(?:[①-⑮]\s*)?(?:[(（]\s*시행일\s*[)）]\s*)?이\s*(?:규정|정관|지침|세칙|내규|요령|기준)?\s*은\s*(?:공포한\s*날|{PLAIN_DATE}\s*일?)\s*부터\s*시행한다\.?$")
+    return F.struct(own.alias("is_supplementary"), F.when(own, marked).alias("identifier_date"), (own & plain & (F.size(article_overrides(text)) == 0)).alias("boilerplate"))

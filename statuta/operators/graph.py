@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,32 +31,106 @@ def merged_edges(edges: DataFrame, source: str, target: str, evidence: str) -> D
     return edges.groupBy(source, target).agg(F.count("*").alias("mentions"), F.min(evidence).alias("evidence"))
 
 
-def reachability(edges: DataFrame, source: str, target: str, most: int = 64) -> DataFrame:
-    """(src, dst) of all paths of one edge or more, by doubling: log2 of the longest path rounds, each written to the shared folder."""
-    folder = shared_folder(edges.sparkSession)
-    paths = written(edges.select(F.col(source).alias("src"), F.col(target).alias("dst")).distinct(), folder, "paths0")
-    n, step = paths.count(), 0
-    while step < most:
-        step += 1
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        paths = written(paths.unionByName(longer).distinct(), folder, f"paths{step}")
-        after = paths.count()
-        if after == n:
-            break
-        n = after
-    return paths
-
-
-def cycles(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """(node, cycle_id, size): strongly connected components of two nodes or more, and self loops. cycle_id: the least node.
-
-    For unit graphs (thousands of nodes): mutual reachability."""
-    paths = reachability(edges, source, target)
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = paths.join(back, ["src", "dst"], "left_semi")
-    rooted = mutual.groupBy("src").agg(F.min("dst").alias("cycle_id"))
-    sizes = rooted.groupBy("cycle_id").agg(F.count("*").alias("size"))
-    return rooted.join(sizes, "cycle_id").select(F.col("src").alias("node"), "cycle_id", "size")
+MOST_ARCS = 1_000_000
+
+
+def components_of(arcs: list[tuple]) -> list[tuple]:
+    """(node, least node of its component, size) of strongly connected components of two nodes or more and of self loops, in linear time."""
+    ways: dict = {}
+    for u, v in arcs:
+        ways.setdefault(u, []).append(v)
+        ways.setdefault(v, [])
+    number, low, held, stack, out = {}, {}, set(), [], []
+    for start in ways:
+        if start in number:
+            continue
+        number[start] = low[start] = len(number)
+        stack.append(start)
+        held.add(start)
+        path = [(start, iter(ways[start]))]
+        while path:
+            node, rest = path[-1]
+            step = next(rest, None)
+            if step is None:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == number[node]:
+                    part = []
+                    while not part or part[-1] != node:
+                        part.append(stack.pop())
+                        held.discard(part[-1])
+                    if len(part) > 1 or node in ways[node]:
+                        out += [(n, min(part), len(part)) for n in part]
+            elif step not in number:
+                number[step] = low[step] = len(number)
+                stack.append(step)
+                held.add(step)
+                path.append((step, iter(ways[step])))
+            elif step in held:
+                low[node] = min(low[node], number[step])
+    return out
+
+
+def cycles(edges: DataFrame, source: str, target: str, scope: str | None = None, most: int = MOST_ARCS) -> DataFrame:
+    """(scope,) node, cycle_id, size: strongly connected components of two nodes or more, and self loops. cycle_id: the least node.
+
+    Arcs of a scope (an institution's units, thousands) are one group, walked in linear time; a scope with more than `most` arcs is coloured instead: labels
+    spread forward and back in rounds that are written, so no graph meets in one task."""
+    kind = dict(edges.dtypes)[source]
+    rows = edges.select((F.col(scope) if scope else F.lit(0)).alias("scope"), F.col(source).alias("u"), F.col(target).alias("v")).distinct()
+    sizes = rows.groupBy("scope").agg(F.count("*").alias("arcs"))
+    large = sizes.filter(F.col("arcs") > most).select("scope")
+
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = components_of(list(zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True)))
+        return pd.DataFrame([(key[0], *f) for f in found], columns=["scope", "node", "cycle_id", "size"])
+
+    scope_kind = dict(rows.dtypes)["scope"]
+    out = rows.join(large, "scope", "left_anti").groupBy("scope").applyInPandas(walk, f"scope {scope_kind}, node {kind}, cycle_id {kind}, size long")
+    if not large.isEmpty():
+        out = out.unionByName(coloured(rows.join(large, "scope", "left_semi")))
+    return out.withColumnRenamed("scope", scope) if scope else out.drop("scope")
+
+
+def coloured(arcs: DataFrame) -> DataFrame:
+    """The same for graphs of any size. Every node takes the least label that reaches it; the nodes of one label that reach its root are a component; they leave,
+    with all arcs between labels, and what is left goes round again."""
+    folder, found, turn = shared_folder(arcs.sparkSession), None, 0
+    left = written(arcs, folder, "arcs0")
+    own = left.filter("u = v").select("scope", F.col("u").alias("node"))
+    while not left.isEmpty():
+        turn += 1
+        nodes = left.select("scope", F.col("u").alias("node")).unionByName(left.select("scope", F.col("v").alias("node"))).distinct()
+        labels, step = written(nodes.withColumn("label", F.col("node")), folder, f"label{turn}-0"), 0
+        while True:  # forward
+            step += 1
+            come = left.join(labels.withColumnRenamed("node", "u"), ["scope", "u"]).groupBy("scope", F.col("v").alias("node")).agg(F.min("label").alias("other"))
+            fresh = labels.join(come, ["scope", "node"], "left").select("scope", "node", F.col("label").alias("old"), F.least("label", F.coalesce("other", "label")).alias("label"))
+            fresh = written(fresh, folder, f"label{turn}-{step}")
+            labels = fresh.select("scope", "node", "label")
+            if fresh.filter("old <> label").isEmpty():
+                break
+        inner = left.join(labels.withColumnsRenamed({"node": "u", "label": "lu"}), ["scope", "u"]).join(labels.withColumnsRenamed({"node": "v", "label": "lv"}), ["scope", "v"]).filter("lu = lv").select("scope", "u", "v", F.col("lu").alias("label"))
+        inner = written(inner, folder, f"inner{turn}")
+        back, n, step = written(labels.filter("node = label"), folder, f"back{turn}-0"), -1, 0
+        while True:  # back from the roots
+            step += 1
+            more = inner.join(back.withColumnRenamed("node", "v"), ["scope", "v", "label"]).select("scope", F.col("u").alias("node"), "label")
+            back = written(back.unionByName(more).distinct(), folder, f"back{turn}-{step}")
+            count = back.count()
+            if count == n:
+                break
+            n = count
+        found = back if found is None else found.unionByName(back)
+        gone = back.select("scope", "node")
+        left = left.join(gone.withColumnRenamed("node", "u"), ["scope", "u"], "left_anti").join(gone.withColumnRenamed("node", "v"), ["scope", "v"], "left_anti").select("scope", "u", "v")
+        left = written(left, folder, f"arcs{turn}")
+    sizes = found.groupBy("scope", "label").agg(F.count("*").alias("size"))
+    whole = found.join(sizes, ["scope", "label"])
+    loops = own.withColumn("loop", F.lit(True))
+    whole = whole.join(loops, ["scope", "node"], "left").filter("size > 1 or loop")
+    return whole.select("scope", "node", F.col("label").alias("cycle_id"), "size")
 
 
 def top_terms(weights: DataFrame, key: str, term: str, weight: str, most: int = 12) -> DataFrame:

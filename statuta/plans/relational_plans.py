@@ -208,21 +208,6 @@ def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES_SQL = """SELECT l_partkey, l_suppkey, count(*)::BIGINT AS mentions, min(l_orderkey) AS evidence FROM lineitem GROUP BY 1, 2"""
 
 
-def reference_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arcs between nations (customer's nation to the key three times it, modulo 25): cycles and self loops."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("a"))
-    arcs = n.select("a", (F.col("a") * 3 % 25).alias("b")).unionByName(n.filter("a % 4 = 0").select("a", ((F.col("a") + 1) % 25).alias("b")))
-    return graph.cycles(arcs, "a", "b")
-
-
-CYCLES_SQL = """
-WITH RECURSIVE arcs AS (SELECT n_nationkey::BIGINT AS a, (n_nationkey::BIGINT * 3) % 25 AS b FROM nation UNION SELECT n_nationkey::BIGINT, (n_nationkey::BIGINT + 1) % 25 FROM nation WHERE n_nationkey % 4 = 0),
-reach(s, d) AS (SELECT a, b FROM arcs UNION SELECT s, b FROM reach JOIN arcs ON d = a),
-mutual AS (SELECT x.s, x.d FROM reach x JOIN reach y ON x.s = y.d AND x.d = y.s),
-c AS (SELECT s AS node, min(d) AS cycle_id FROM mutual GROUP BY s)
-SELECT node, cycle_id, (count(*) OVER (PARTITION BY cycle_id))::BIGINT AS size FROM c"""
-
-
 def term_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-occurrence of the twelve commonest terms of every benchmark item."""
     words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]{2,})"), 1)).alias("term"))
@@ -424,7 +409,6 @@ QUERIES = {
     "toc_nodes": (toc_nodes, TOC_SQL),
     "reference_resolution": (reference_resolution, RESOLVE_SQL),
     "merged_edges": (merged_edges, EDGES_SQL),
-    "reference_cycles": (reference_cycles, CYCLES_SQL),
     "term_graph": (term_graph, TERMS_SQL),
     "budgeted_review": (budgeted_review, BUDGET_SQL),
     "manifest_best": (manifest_best, MANIFEST_SQL),

@@ -172,18 +172,6 @@ s AS (SELECT lang, line, count(*) AS n FROM l WHERE length(line) >= 12 GROUP BY
 SELECT lang, sum(n)::BIGINT AS n_lines, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS n_shared FROM s GROUP BY lang"""
 
 
-def repeated_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources as documents and documents as pages: edge lines found on many pages."""
-    pages = docs(spark, sf_dir).select("source", F.trim(F.substring_index("text", "\n", 1)).alias("first"), F.trim(F.substring_index("text", "\n", -1)).alias("last"))
-    edges = pages.select("source", F.explode(F.array_distinct(F.array("first", "last"))).alias("line")).filter("line <> ''")
-    return edges.groupBy("source", "line").agg(F.count("*").alias("n")).filter("n >= 3").select("source", F.md5("line").alias("line_hash"), "n")
-
-
-EDGES_SQL = """
-WITH p AS (SELECT source, trim(string_split(text, chr(10))[1]) AS a, trim(string_split(text, chr(10))[-1]) AS b FROM documents),
-e AS (SELECT source, unnest(list_distinct([a, b])) AS line FROM p)
-SELECT source, md5(line) AS line_hash, count(*)::BIGINT AS n FROM e WHERE line <> '' GROUP BY source, line HAVING count(*) >= 3"""
-
 QUERIES = {
     "normalize_text": (normalize_text, NORMALIZE_SQL),
     "line_repair": (line_repair, LINE_REPAIR_SQL),
@@ -198,5 +186,4 @@ QUERIES = {
     "quality_scores": (quality_scores, SCORES_SQL),
     "table_likelihood": (table_likelihood, TABLE_SQL),
     "source_line_coverage": (source_line_coverage, COVERAGE_SQL),
-    "repeated_edge_lines": (repeated_edge_lines, EDGES_SQL),
 }
