@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ANY_DATE = r"(\d{4})\s*(?:[.\-/]|년)\s*(\d{1,2})\s*(?:[.\-/]|월)\s*(\d{1,2})"
+WRITTEN = re.compile(ANY_DATE)
 PLAIN_DATE = r"\d{4}\s*(?:[.\-/]|년)\s*\d{1,2}\s*(?:[.\-/]|월)\s*\d{1,2}"
 
 
@@ -76,26 +82,32 @@ REVISED, IN_FORCE = ("개정", "일부개정", "전문개정", "전부개정", "
 NEAR = 90
 
 
+def nearest_dates(text: str | None, words: tuple[str, ...]) -> list[date]:
+    text, out = text or "", []
+    for word in re.finditer("|".join(sorted(words, key=len, reverse=True)), text):
+        low = max(0, word.start() - NEAR)
+        best = None
+        for m in WRITTEN.finditer(text[low : word.end() + NEAR]):
+            a, b = low + m.start(), low + m.end()
+            gap = word.start() - b if b <= word.start() else max(0, a - word.end())
+            try:
+                on = date(int(m[1]), int(m[2]), int(m[3]))
+            except ValueError:
+                continue
+            if best is None or gap < best[0]:
+                best = (gap, on)
+        out += [best[1]] if best else []
+    return out
+
+
 def near_dates(text: Column, words: tuple[str, ...]) -> Column:
-    """For each place of a word, in order: the date nearest to it within NEAR characters before or after."""
-    escaped = "|".join(words)
-    parts = F.split(F.coalesce(text, F.lit("")), f"(?=(?:{escaped}))")  # each part but the first begins with a word
-    length = lambda x: F.length(F.regexp_extract(x, f"^(?:{escaped})", 0))
-    # what stands before a word: the last NEAR characters of all parts before it
-    before = F.transform(parts, lambda x, i: F.right(F.array_join(F.slice(parts, F.lit(1), i), ""), F.lit(NEAR)))
-
-    def nearest(i: Column) -> Column:
-        own, left = F.get(parts, i), F.get(before, i)
-        after = F.substring(F.array_join(F.slice(parts, i + 1, F.size(parts)), ""), length(own) + 1, F.lit(NEAR))
-        ahead = F.regexp_extract(after, f"(?s)^(.*?)({PLAIN_DATE})", 2)
-        gap_ahead = F.when(ahead != "", F.length(F.regexp_extract(after, f"(?s)^(.*?)({PLAIN_DATE})", 1)))
-        behind = F.regexp_extract(left, f"(?s)^.*({PLAIN_DATE})", 1)
-        gap_behind = F.when(behind != "", F.length(F.regexp_extract(left, f"(?s)^.*{PLAIN_DATE}(.*)$", 1)))
-        pick = F.when(gap_ahead.isNull() | (gap_behind <= gap_ahead), behind).otherwise(ahead)
-        return first_date(F.nullif(pick, F.lit("")))
-
-    found = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(F.get(parts, i).rlike(f"^(?:{escaped})"), nearest(i)))
-    return F.filter(found, lambda d: d.isNotNull())
+    """For each place of a word, in order: the date nearest to it within NEAR characters before or after. Places are needed, so Arrow batches."""
+
+    @F.pandas_udf(T.ArrayType(T.DateType()))
+    def near(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: nearest_dates(t, words))
+
+    return near(text)
 
 
 def date_after(line: Column, words: tuple[str, ...]) -> Column:
@@ -133,5 +145,5 @@ def supplementary(text: Column) -> Column:
     own = text.rlike(r"(?m)^\s*부\s*칙")
     marked = first_date(F.regexp_extract(text, rf"부\s*칙\s*(?:[<〈(\[]\s*)?({PLAIN_DATE})", 1))
     body = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*부\s*칙[^\n]*$", ""), r"\s+", " "))
-    plain = body.rlike(rf"^(?:제\s*\d+\s*조\s*\(\s*시행일\s*\)\s*)?(?:[①-⑮]\s*)?(?:[(（]\s*시행일\s*[)）]\s*)?이\s*(?:규정|정관|지침|세칙|내규|요령|기준)?\s*은\s*(?:공포한\s*날|{PLAIN_DATE}\s*일?)\s*부터\s*시행한다\.?$")
+    plain = body.rlike(rf"^(?:제\s*\d+\s*조\s*\(\s*시행일\s*\)\s*)?(?:[①-⑮]\s*)?(?:[(（]\s*시행일\s*[)）]\s*)?이\s*(?:규정|정관|지침|세칙|내규|요령|기준)?\s*은\s*(?:공포한\s*날|{PLAIN_DATE}\s*[일.]?)\s*부터\s*시행한다\.?$")
     return F.struct(own.alias("is_supplementary"), F.when(own, marked).alias("identifier_date"), (own & plain & (F.size(article_overrides(text)) == 0)).alias("boilerplate"))

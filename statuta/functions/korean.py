@@ -58,31 +58,42 @@ def nfkc_fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-def damaged_spans(text: str | None) -> list[tuple[int, int]]:
-    """Runs of two or more CJK characters whose two bytes are both lower-case ASCII letters: text decoded in the wrong width."""
-    spans, start = [], None
-    for i, c in enumerate([*(text or ""), ""]):
-        pair = c and 0x6161 <= ord(c) <= 0x7A7A and 0x61 <= ord(c) & 0xFF <= 0x7A
-        if pair and start is None:
-            start = i
-        elif not pair and start is not None:
-            if i - start >= 2:
-                spans.append((start, i))
-            start = None
+# Brackets of a Hanja gloss, sequences seen in damaged files, pieces that every exported file has, and scripts that no regulation is written in.
+GLOSS = {"(": ")", "（": "）", "[": "]", "［": "］", "「": "」", "『": "』", "〔": "〕", "《": "》", "<": ">"}
+SEEN = "捤獥|汤捯|氠瑢|湰灧|桤灧|灳瑣|湯慴|湯湷|†普"
+EXPORTED = re.compile("慤桥|漠杳")
+FOREIGN = "Ā-ͯЀ-֏֐-ࣿऀ-࿿က-ჿሀ-᳿Ḁ-ỿ"
+# CJK characters both of whose bytes are a lower-case letter or a blank: names of a file's parts, read as text.
+PAIRED = "".join(f"{chr(high << 8 | 0x20)}{chr(high << 8 | 0x61)}-{chr(high << 8 | 0x7A)}" for high in range(0x61, 0x7B))
+SUSPECT = re.compile(f"(?:{SEEN}|[{PAIRED}{FOREIGN}])+")
+CERTAIN = re.compile(f"{SEEN}|[{FOREIGN}]")
+LOST = re.compile(f"{SEEN}|[㐀-鿿豈-\ufaff]")
+
+
+def damaged_spans(text: str | None) -> list[tuple[int, int, bool]]:
+    """(begin, end, lost) of damaged runs: with a foreign letter or a known sequence, or two paired characters or more that are no bracketed gloss. lost: content stood there,
+    not a leftover of the export or of the layout."""
+    text, spans = text or "", []
+    for m in SUSPECT.finditer(text):
+        a, b = m.span()
+        gloss = a > 0 and b < len(text) and GLOSS.get(text[a - 1]) == text[b]
+        if CERTAIN.search(m[0]) or (b - a >= 2 and not gloss):
+            rest = EXPORTED.sub("", m[0]).strip()
+            spans.append((a, b, bool(rest and LOST.search(m[0]))))
     return spans
 
 
-DAMAGE = T.StructType([T.StructField("n_damaged", T.IntegerType()), T.StructField("cleaned", T.StringType())])
+DAMAGE = T.StructType([T.StructField("n_damaged", T.IntegerType()), T.StructField("n_cleaned", T.IntegerType()), T.StructField("cleaned", T.StringType())])
 
 
 @F.pandas_udf(DAMAGE)
 def damage(texts: pd.Series) -> pd.DataFrame:
-    """Characters in damaged spans and the text without them."""
+    """Characters in spans where content was lost, in other damaged spans, and the text with a blank for each span."""
     rows = []
     for t in texts:
         spans, kept, at = damaged_spans(t), [], 0
-        for a, b in spans:
-            kept.append(t[at:a])
+        for a, b, _ in spans:
+            kept += [t[at:a], " "]
             at = b
-        rows.append((sum(b - a for a, b in spans), (t or "") if not spans else "".join([*kept, t[at:]])))
-    return pd.DataFrame(rows, columns=["n_damaged", "cleaned"])
+        rows.append((sum(b - a for a, b, lost in spans if lost), sum(b - a for a, b, lost in spans if not lost), (t or "") if not spans else "".join([*kept, t[at:]])))
+    return pd.DataFrame(rows, columns=["n_damaged", "n_cleaned", "cleaned"])

@@ -90,11 +90,14 @@ def version_of(name: Column, effective: Column) -> Column:
 
 
 def inherited(rows: DataFrame, scope: str, field: str) -> DataFrame:
-    """field filled from its scope where the scope has one value for it; field_status: own, inherited, conflict or none."""
-    values = F.collect_set(field).over(Window.partitionBy(scope))
-    one = F.when(F.size(values) == 1, F.get(values, 0))
-    status = F.when(F.col(field).isNotNull(), "own").when(F.size(values) == 1, "inherited").when(F.size(values) > 1, "conflict").otherwise("none")
-    return rows.withColumn(f"{field}_status", status).withColumn(field, F.coalesce(F.col(field), one))
+    """field filled from its scope where the scope has one value for it; field_status: own, inherited, conflict or none. The least and the greatest
+    value of a scope tell whether it has one: a partial aggregate, however many rows a scope has."""
+    ends = rows.groupBy(scope).agg(F.min(field).alias("least_"), F.max(field).alias("most_"))
+    both = rows.alias("r").join(ends.withColumnRenamed(scope, "scope_"), F.col(f"r.{scope}").eqNullSafe(F.col("scope_")))
+    single = F.col("least_") == F.col("most_")
+    status = F.when(F.col(field).isNotNull(), "own").when(single, "inherited").when(F.col("least_").isNotNull(), "conflict").otherwise("none")
+    filled = F.coalesce(F.col(field), F.when(single, F.col("least_")))
+    return both.select(*[filled.alias(c) if c == field else F.col(f"r.{c}") for c in rows.columns], status.alias(f"{field}_status"))
 
 
 def in_spans(points: DataFrame, spans: DataFrame, key: str, at: str, begin: str, end: str, width: int) -> DataFrame:
@@ -103,7 +106,15 @@ def in_spans(points: DataFrame, spans: DataFrame, key: str, at: str, begin: str,
     return points.withColumn("bucket", F.floor(F.col(at) / width)).join(cut, [key, "bucket"]).filter((F.col(at) >= F.col(begin)) & (F.col(at) <= F.col(end))).drop("bucket")
 
 
-def islands(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, first, last, n): runs of consecutive numbers."""
-    run = F.col(order) - F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("run", run).groupBy(key, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("run")
+def islands(rows: DataFrame, key: str, order: str, width: int = 65_536) -> DataFrame:
+    """(key, first, last, n): runs of consecutive numbers. Runs are found within ranges of `width` numbers; only those that touch the end of their range, two
+    a range at the most, are put together over the whole key."""
+    bucket = F.floor(F.col(order) / width)
+    run = F.col(order) - F.row_number().over(Window.partitionBy(key, "bucket").orderBy(order))
+    local = rows.select(key, order, bucket.alias("bucket")).withColumn("run", run)
+    local = local.groupBy(key, "bucket", "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+    edge = (F.col("first") == F.col("bucket") * width) | (F.col("last") == F.col("bucket") * width + width - 1)
+    by = Window.partitionBy(key).orderBy("first")
+    open_runs = local.filter(edge).withColumn("new", F.coalesce((F.lag("last").over(by) + 1 != F.col("first")).cast("int"), F.lit(1)))
+    open_runs = open_runs.withColumn("group", F.sum("new").over(by)).groupBy(key, "group").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return local.filter(~edge).select(key, "first", "last", "n").unionByName(open_runs.select(key, "first", "last", "n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Points off per unit and the most that each kind takes off.
@@ -43,8 +43,9 @@ def repeated_edges(pages: DataFrame, doc: str, first: str, last: str) -> DataFra
 
 
 def budgeted(rows: DataFrame, order: str, cost: str, most: int, budget: int, scope: str) -> DataFrame:
-    """The leading rows of each scope, up to `most` and to the first that exceeds the budget."""
-    from pyspark.sql import Window
+    """The leading rows of each scope, up to `most` and to the first that exceeds the budget, with place and spent.
 
+    The `most` first rows of a scope are found by a partial top-k in every task; only they are summed up."""
     by = Window.partitionBy(scope).orderBy(order)
-    return rows.withColumn("place", F.row_number().over(by)).withColumn("spent", F.sum(cost).over(by)).filter((F.col("place") <= most) & (F.col("spent") <= budget))
+    first = rows.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= most)
+    return first.withColumn("spent", F.sum(cost).over(by)).filter(F.col("spent") <= budget)

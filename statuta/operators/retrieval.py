@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.functions.text import tokens
+from statuta.session import shared_folder, written
 
 K1, B = 1.5, 0.75
 BUCKETS = 384
@@ -29,15 +32,15 @@ def occurrences(toks: Column, word: str) -> Column:
 
 
 def bm25(rows: DataFrame, query: str, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(key, score) of documents with a positive score. One pass: only the query's terms are counted, so no posting is shuffled.
-
-    Corpus statistics are one row (count, average length, document frequency of each query term)."""
-    terms = [t for t in query.lower().split() if t]
+    """(key, score) of documents with a positive score, without an index. The texts are read once: the counts of the query's terms are written (a few numbers a
+    row), then give the statistics, one row (count, average length, document frequency of each query term), and the scores. The query is split as the texts are."""
+    terms = re.findall(r"[^\W]+", query.lower())
     unique = list(dict.fromkeys(terms))
     toks = tokens(F.col(text))
     counted = rows.select(key, toks.alias("toks")).select(
         key, F.size("toks").alias("len"), *[occurrences(F.col("toks"), t).alias(f"tf{i}") for i, t in enumerate(unique)]
     )
+    counted = written(counted, shared_folder(rows.sparkSession), "counted")
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(unique))])
     joined = counted.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.functions import korean
 from statuta.functions.dates import version_key
-from statuta.functions.korean import damage, korean_tokens
 from statuta.operators import metadata
+from statuta.operators.numbering import running
 from statuta.session import table
 
 
@@ -61,11 +62,8 @@ SELECT doc_id, CASE WHEN length(key) <= 64 THEN key ELSE substr(key, 1, 55) || '
 
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version tokens in natural order: the number of each among its brand's."""
-    from pyspark.sql import Window
-
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 12).cast("string")).alias("version"))
-    order = Window.partitionBy("p_brand").orderBy(version_key(F.col("version")), "p_partkey")
-    return p.select("p_partkey", F.row_number().over(order).cast("long").alias("place"))
+    return running(p, ["p_brand"], [version_key(F.col("version")), "p_partkey"], None, "place").select("p_partkey", "place")
 
 
 VERSION_SQL = """SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey % 12, p_partkey)::BIGINT AS place FROM part"""
@@ -84,13 +82,14 @@ least(5, len(list_filter(string_split_regex(regexp_replace(text, '([.?!])\s+', '
 
 
 def damaged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a damaged run put into every fourth of them."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("慢慴"), F.lit(" x"))).otherwise(F.col("text")).alias("text"))
-    out = d.select("doc_id", damage(F.col("text")).alias("x"))
-    return out.select("doc_id", F.col("x.n_damaged").cast("long").alias("n_damaged"), F.length("x.cleaned").cast("long").alias("n_left"))
+    """Damaged characters of texts with leftovers of an export, lost content, layout numbers, a gloss in brackets and a single paired character."""
+    made = F.array(*[F.lit(x) for x in ("제목 慤桥 끝", "연봉 敤敱 지급", "ྠ Ā 신청", "본칙(慤桥)이다", "홑글자 慤 하나", "아무 일 없다", "漠杳敤敱浫")])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.get(made, (F.col("c_custkey") % 7).cast("int")).alias("t"))
+    return rows.select("c_custkey", korean.damage(F.col("t")).alias("d")).select("c_custkey", "d.*")
 
 
-DAMAGED_SQL = """SELECT doc_id, (CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END)::BIGINT AS n_damaged, (length(text) + CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END)::BIGINT AS n_left FROM documents"""
+DAMAGED_SQL = """SELECT c_custkey, CASE c_custkey % 7 WHEN 1 THEN 2 WHEN 6 THEN 5 ELSE 0 END::INT AS n_damaged, CASE c_custkey % 7 WHEN 0 THEN 2 WHEN 2 THEN 2 ELSE 0 END::INT AS n_cleaned,
+ CASE c_custkey % 7 WHEN 0 THEN '제목   끝' WHEN 1 THEN '연봉   지급' WHEN 2 THEN '    신청' WHEN 3 THEN '본칙(慤桥)이다' WHEN 4 THEN '홑글자 慤 하나' WHEN 5 THEN '아무 일 없다' ELSE ' ' END AS cleaned FROM customer"""
 
 
 def batch_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +117,6 @@ EXPECT_SQL = """SELECT source, abs(avg(length(text)) - 2500) > 400 AS failed FRO
 
 def fixture_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest, the shortest and a duplicated document of each source."""
-    from pyspark.sql import Window
-
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"), F.count("*").over(Window.partitionBy(F.md5("text"))).alias("copies"))
     return d.groupBy("source").agg(
         F.min_by("doc_id", F.struct(-F.col("n"), F.col("doc_id"))).alias("longest"),
@@ -135,11 +132,8 @@ SELECT source, arg_min(doc_id, (-n, doc_id)) AS longest, arg_min(doc_id, (n, doc
 
 def review_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of label 0 grouped by language and source, one representative each, in batches of 25."""
-    from pyspark.sql import Window
-
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").filter("quality = 0"), "doc_id")
-    order = Window.partitionBy("lang").orderBy("doc_id")
-    rows = d.withColumn("batch", F.floor((F.row_number().over(order) - 1) / 25))
+    rows = running(d.select("lang", "source", "doc_id"), ["lang"], ["doc_id"], None, "place").withColumn("batch", F.floor((F.col("place") - 1) / 25))
     return rows.groupBy("lang", "batch").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"))
 
 

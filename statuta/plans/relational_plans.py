@@ -210,16 +210,16 @@ EDGES_SQL = """SELECT l_partkey, l_suppkey, count(*)::BIGINT AS mentions, min(l_
 
 def term_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-occurrence of the twelve commonest terms of every benchmark item."""
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]{2,})"), 1)).alias("term"))
-    top = graph.top_terms(words.groupBy("item_id", "term").agg(F.count("*").alias("w")), "item_id", "term", "w")
-    return graph.cooccurrence(top, "item_id", "term")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]{2,})"), 1)).alias("term"))
+    top = graph.top_terms(words.groupBy("doc_id", "term").agg(F.count("*").alias("w")), "doc_id", "term", "w")
+    return graph.cooccurrence(top, "doc_id", "term")
 
 
 TERMS_SQL = r"""
-WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}]{2,}')) AS term FROM benchmark),
-c AS (SELECT item_id, term, count(*) AS n FROM w GROUP BY ALL),
-t AS (SELECT item_id, term FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, length(term) DESC, term) <= 12)
-SELECT x.term AS a, y.term AS b, count(*)::BIGINT AS weight FROM t x JOIN t y ON x.item_id = y.item_id AND x.term < y.term GROUP BY 1, 2"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}]{2,}')) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY ALL),
+t AS (SELECT doc_id, term FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(term) DESC, term) <= 12)
+SELECT x.term AS a, y.term AS b, count(*)::BIGINT AS weight FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY 1, 2"""
 
 
 def budgeted_review(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,17 +40,17 @@ SELECT term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS cf FROM t
 
 
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the hash embedding of every benchmark item (the query side)."""
-    entries = retrieval.postings(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return retrieval.hash_embedding(entries, "item_id").select("item_id", "bucket", F.round("weight", 6).alias("weight"))
+    """Cells of the hash embedding of every document."""
+    entries = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return retrieval.hash_embedding(entries, "doc_id").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 EMBEDDING_SQL = r"""
-WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark),
-h AS (SELECT item_id, ('0x' || substr(sha256(term), 1, 8))::UBIGINT % 384 AS bucket, CASE WHEN ('0x' || substr(sha256(term), 9, 2))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END AS s FROM t),
-c AS (SELECT item_id, bucket, sum(s) AS v FROM h GROUP BY ALL HAVING sum(s) <> 0),
-n AS (SELECT item_id, sqrt(sum(v * v)) AS norm FROM c GROUP BY item_id)
-SELECT item_id, bucket::BIGINT AS bucket, round(round(v / norm, 8), 6)::DOUBLE AS weight FROM c JOIN n USING (item_id)"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents),
+h AS (SELECT doc_id, ('0x' || substr(sha256(term), 1, 8))::UBIGINT % 384 AS bucket, CASE WHEN ('0x' || substr(sha256(term), 9, 2))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END AS s FROM t),
+c AS (SELECT doc_id, bucket, sum(s) AS v FROM h GROUP BY ALL HAVING sum(s) <> 0),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM c GROUP BY doc_id)
+SELECT doc_id, bucket::BIGINT AS bucket, round(round(v / norm, 8), 6)::DOUBLE AS weight FROM c JOIN n USING (doc_id)"""
 
 
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

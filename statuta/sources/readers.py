@@ -12,14 +12,13 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_ENTRIES = 4096
 MOST_RATIO = 200
 MOST_BYTES = 512 << 20
-BLOCKS = "path string, block_index int, block_type string, text string, error string"
 
 
 def guarded(data: bytes) -> zipfile.ZipFile:
@@ -84,21 +83,24 @@ def file_blocks(path: str, data: bytes) -> list[tuple[str, str]]:
     raise ValueError(f"no reader for .{kind} files")
 
 
-def read_documents(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, block_index, block_type, text, error) of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+FILE_BLOCKS = T.ArrayType(T.StructType([T.StructField("block_type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+
+
+@F.udf(FILE_BLOCKS, useArrow=False)
+def parse_file(path: str, data: bytes) -> list[tuple]:
+    """One file at a time: Arrow batches would hold thousands of files at once."""
+    try:
+        return [(kind, text, None) for kind, text in file_blocks(path, bytes(data)) if text]
+    except Exception as error:  # noqa: BLE001  one bad file is a row, not a failed job
+        return [(None, None, f"{type(error).__name__}: {error}")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    rows += [(path, k, kind, text, None) for k, (kind, text) in enumerate(file_blocks(path, data)) if text]
-                except Exception as error:  # noqa: BLE001  one bad file is a row, not a failed job
-                    rows.append((path, 0, None, None, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["path", "block_index", "block_type", "text", "error"])
-
-    return files.select("path", "content").mapInPandas(run, BLOCKS)
+
+def read_documents(spark: SparkSession, folder: str, pattern: str = "*", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(path, block_index, block_type, text, error) of every file below a folder. Files over `most_bytes` are not loaded: they give an error row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    small = files.filter(F.col("length") <= most_bytes).select("path", F.posexplode(parse_file("path", "content")).alias("block_index", "b")).select("path", "block_index", "b.*")
+    large = files.filter(F.col("length") > most_bytes).select("path", F.lit(0).alias("block_index"), F.lit(None).cast("string").alias("block_type"), F.lit(None).cast("string").alias("text"), F.lit("file too large").alias("error"))
+    return small.unionByName(large)
 
 
 def read_records(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
