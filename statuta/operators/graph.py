@@ -61,7 +61,8 @@ def components_of(arcs: list[tuple]) -> list[tuple]:
                         part.append(stack.pop())
                         held.discard(part[-1])
                     if len(part) > 1 or node in ways[node]:
-                        out += [(n, min(part), len(part)) for n in part]
+                        least = min(part)
+                        out += [(n, least, len(part)) for n in part]
             elif step not in number:
                 number[step] = low[step] = len(number)
                 stack.append(step)
@@ -93,14 +94,32 @@ def cycles(edges: DataFrame, source: str, target: str, scope: str | None = None,
     return out.withColumnRenamed("scope", scope) if scope else out.drop("scope")
 
 
+def trimmed(arcs: DataFrame, folder: str, turn: int) -> DataFrame:
+    """arcs without those to or from a node that no arc enters or leaves, again and again: such nodes are in no cycle."""
+    n, step = arcs.count(), 0
+    while n:
+        step += 1
+        enters, leaves = arcs.select("scope", F.col("v").alias("u")).distinct(), arcs.select("scope", F.col("u").alias("v")).distinct()
+        arcs = written(arcs.join(enters, ["scope", "u"], "left_semi").join(leaves, ["scope", "v"], "left_semi").select("scope", "u", "v"), folder, f"trim{turn}-{step}")
+        after = arcs.count()
+        if after == n:
+            break
+        n = after
+    return arcs
+
+
 def coloured(arcs: DataFrame) -> DataFrame:
     """The same for graphs of any size. Every node takes the least label that reaches it; the nodes of one label that reach its root are a component; they leave,
     with all arcs between labels, and what is left goes round again."""
     folder, found, turn = shared_folder(arcs.sparkSession), None, 0
     left = written(arcs, folder, "arcs0")
-    own = left.filter("u = v").select("scope", F.col("u").alias("node"))
-    while not left.isEmpty():
+    own = written(left.filter("u = v").select("scope", F.col("u").alias("node")), folder, "loops")
+    left = left.filter("u <> v")
+    while True:
         turn += 1
+        left = trimmed(left, folder, turn)
+        if left.isEmpty():
+            break
         nodes = left.select("scope", F.col("u").alias("node")).unionByName(left.select("scope", F.col("v").alias("node"))).distinct()
         labels, step = written(nodes.withColumn("label", F.col("node")), folder, f"label{turn}-0"), 0
         while True:  # forward
@@ -126,6 +145,9 @@ def coloured(arcs: DataFrame) -> DataFrame:
         gone = back.select("scope", "node")
         left = left.join(gone.withColumnRenamed("node", "u"), ["scope", "u"], "left_anti").join(gone.withColumnRenamed("node", "v"), ["scope", "v"], "left_anti").select("scope", "u", "v")
         left = written(left, folder, f"arcs{turn}")
+    if found is None:
+        found = own.withColumn("label", F.col("node")).limit(0)
+    found = found.unionByName(own.join(found, ["scope", "node"], "left_anti").withColumn("label", F.col("node")))
     sizes = found.groupBy("scope", "label").agg(F.count("*").alias("size"))
     whole = found.join(sizes, ["scope", "label"])
     loops = own.withColumn("loop", F.lit(True))

@@ -1,7 +1,5 @@
 """Structure, chunks, search, graph, tables and governance on small inputs with known answers."""
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,10 +70,10 @@ def test_index_versions_and_cold_words(spark, tmp_path):
 
 
 def test_definitions_of_listed_kinds(spark):
-    rows = spark.createDataFrame([("a", "휴가의 종류는 연가 및 병가로 구분한다", "종류", 1), ("b", "내용", "병가", 2), ("c", "연가는 쉬는 것이다", "기타", 3), ("d", "다른 글", "보수", 4)], "id string, text string, article_title string, order_index int")
+    rows = spark.createDataFrame([("a", "휴가의 종류는 연가 및 병가로 구분한다", "종류", 1), ("b", "내용", "병가", 0), ("c", "연가는 쉬는 것이다", "기타", 3), ("d", "다른 글", "보수", 4)], "id string, text string, article_title string, order_index int")
     scored = rows.filter("id in ('a', 'd')").withColumn("score", F.when(F.col("id") == "a", 5.0).otherwise(1.0))
     out = {r["id"]: r["score"] for r in search.promoted(scored, rows, "휴가의 종류").collect()}
-    assert out["b"] >= 24 and out["d"] == 1.0 and search.promoted(scored, rows, "휴가") is scored
+    assert out["b"] >= 24 and out["a"] >= 29 and search.promoted(scored, rows, "휴가") is scored
 
 
 def test_tables_by_name(spark):
@@ -92,21 +90,20 @@ def test_wrapped_rows(spark):
 
 
 def test_cycles_by_walk_and_by_colour(spark):
-    r = random.Random(3)
-    arcs = [(r.randrange(40), r.randrange(40)) for _ in range(55)] + [(100, 101), (101, 102), (102, 100), (103, 103), (200, 201)] + [(300 + i, 301 + i) for i in range(30)]
+    arcs = [(100, 101), (101, 102), (102, 100), (103, 103), (200, 201), (1, 2), (2, 1), (2, 100)]
     df = spark.createDataFrame(arcs, "a long, b long")
     walked = {tuple(x) for x in graph.cycles(df, "a", "b").select("node", "cycle_id", "size").collect()}
     coloured = {tuple(x) for x in graph.cycles(df, "a", "b", most=1).select("node", "cycle_id", "size").collect()}
-    assert walked == coloured and {(100, 100, 3), (103, 103, 1)} <= walked
+    assert walked == coloured and walked == {(100, 100, 3), (101, 100, 3), (102, 100, 3), (103, 103, 1), (1, 1, 2), (2, 1, 2)}
     chain = [(i, i + 1) for i in range(200_000)] + [(200_000, 0)]
     assert len(graph.components_of(chain)) == 200_001
 
 
 def test_running_numbers(spark):
-    rows = spark.createDataFrame([("a" if i % 3 else "b", i, i % 5) for i in range(200)], "k string, o int, v int")
+    rows = spark.createDataFrame([("a" if i % 3 else "b", i, i % 5) for i in range(40)], "k string, o int, v int")
     got = {(x["k"], x["o"]): (x["n"], x["s"]) for x in numbering.running(numbering.running(rows, ["k"], ["o"], None, "n"), ["k"], ["o"], "v", "s").collect()}
     seen = {}
-    for i in range(200):
+    for i in range(40):
         k = "a" if i % 3 else "b"
         n, s = seen.get(k, (0, 0))
         seen[k] = (n + 1, s + i % 5)
