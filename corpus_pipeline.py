@@ -20,6 +20,8 @@ TOXIC = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs scored below TOXIC, as they are. Null and empty texts get the score of a text without words; without labels that train, or with an empty table,
+    nothing is rejected for its words. Repeated rows, null ids and other columns of any name and type stay."""
     model = train(docs, table(spark, sf_dir, "labels"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*columns).alias("row"), F.col("text"))
@@ -27,18 +29,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs that no rule rejects, as they are. Null and blank texts have too few words and go; an empty table stays empty; repeated rows are judged each."""
     return keep_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates, that of the least id (null ids last; of equal ids the first). Blank texts link with nothing and all stay."""
     return keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All docs, with every secret of their texts replaced by its kind and n_chars after the new text. Null and empty texts stay as they are."""
     return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of every document, with its bin and place. Null and blank texts give a piece of length 0 in no bin; an empty table gives no rows."""
     return pack(docs)
 
 
