@@ -113,6 +113,15 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("chunk_id", "doc_id", "part", "begin", "end", F.sha2("chunk_text", 256).alias("h"))
 
 
+WINDOW_END = """SELECT doc_id, t, n, part, pos, CASE WHEN pos + 1800 >= n THEN n WHEN greatest(sp, nl) > 900 THEN pos + greatest(sp, nl) ELSE pos + 1800 END AS e FROM (
+    SELECT *, CASE WHEN contains(sub, ' ') THEN length(sub) - strpos(reverse(sub), ' ') ELSE -1 END AS sp, CASE WHEN contains(sub, chr(10)) THEN length(sub) - strpos(reverse(sub), chr(10)) ELSE -1 END AS nl
+    FROM (SELECT *, substr(t, pos + 1, 1800) AS sub FROM ({rows})))"""
+CHUNK_WINDOWS_SQL = f"""
+WITH RECURSIVE w AS ({WINDOW_END.format(rows="SELECT doc_id, text AS t, length(text) AS n, 0 AS part, 0::BIGINT AS pos FROM documents WHERE length(text) > 0")}
+UNION ALL {WINDOW_END.format(rows="SELECT doc_id, t, n, part + 1 AS part, greatest(e - 120, pos + 1) AS pos FROM w WHERE e < n")})
+SELECT doc_id || '_article_제1조_' || lpad(part::VARCHAR, 4, '0') || '_p1_' || lpad(part::VARCHAR, 3, '0') AS chunk_id, doc_id, part::INT AS part, pos::INT AS "begin", e::INT AS "end", sha256(substr(t, pos + 1, e - pos)) AS h FROM w"""
+
+
 def chunk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).withColumn("page", F.when(F.col("doc_id") % 10 != 0, 1))
     found = quality.issues(rows, "doc_id", "text", "page", 2300)
@@ -181,7 +190,7 @@ QUERIES = {
     "retrieval_texts": (retrieval_texts, RETRIEVAL_TEXTS_SQL),
     "iso_dates": (iso_dates, ISO_DATES_SQL),
     "structure_nodes": (structure_nodes, STRUCTURE_SQL),
-    "chunk_windows": (chunk_windows, None),
+    "chunk_windows": (chunk_windows, CHUNK_WINDOWS_SQL),
     "chunk_validation": (chunk_validation, VALIDATION_SQL),
     "quality_scores": (quality_scores, SCORES_SQL),
     "table_likelihood": (table_likelihood, TABLE_SQL),
