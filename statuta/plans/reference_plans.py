@@ -71,17 +71,17 @@ VISIBLE_SQL = f"""WITH {EDGES_CTE} SELECT source, target, kind, coalesce(place,
 
 
 def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 1")
-    return rows.select((F.col("l_partkey") % 300).alias("a"), (F.col("l_suppkey") % 300).alias("b"))
+    rows = table(spark, sf_dir, "orders")
+    return rows.select(F.col("o_orderkey").cast("long").alias("a"), (F.col("o_custkey") * 7 + F.col("o_orderkey") % 3).cast("long").alias("b"))
 
 
 def reference_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arcs from parts to suppliers of line items, both as units: strongly connected ones."""
+    """An arc from every order, as a unit, to the one that its customer's number gives: strongly connected units."""
     return graph.cycles(arcs(spark, sf_dir), "a", "b")
 
 
 CYCLES_SQL = """
-WITH RECURSIVE arcs AS (SELECT DISTINCT l_partkey % 300 AS a, l_suppkey % 300 AS b FROM lineitem WHERE l_orderkey % 50 = 1),
+WITH RECURSIVE arcs AS (SELECT DISTINCT o_orderkey::BIGINT AS a, o_custkey::BIGINT * 7 + o_orderkey % 3 AS b FROM orders),
 reach(s, d) AS (SELECT a, b FROM arcs UNION SELECT s, b FROM reach JOIN arcs ON d = a), mutual AS (SELECT x.s, x.d FROM reach x JOIN reach y ON x.s = y.d AND x.d = y.s), c AS (SELECT s AS node, min(d) AS cycle_id FROM mutual GROUP BY s)
 SELECT node, cycle_id, (count(*) OVER (PARTITION BY cycle_id))::BIGINT AS size FROM c"""
 
@@ -119,16 +119,16 @@ def row_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     n = k.cast("string")
     forms = [
-        F.concat(F.lit("| 구분 | "), n, F.lit(" | 비고 |")), F.concat(F.lit("직급  "), n, F.lit("   수당")), F.concat(F.lit("대상: 직원 "), n, F.lit("명")), F.concat(F.lit("A-"), n, F.lit(" 인사 기록")), F.concat(F.lit("인사 기록 카드 "), n, F.lit("년")),
+        F.concat(F.lit("| 구분 | "), n, F.lit(" | 비고 |")), F.concat(F.lit("직급  "), n, F.lit("   수당")), F.concat(F.lit("대상: 직원 "), n, F.lit("명")), F.concat(F.lit("A-"), n, F.lit(" 인사 기록")), F.concat(F.lit("인사 기록 카드 "), (k % 900 + 100).cast("string"), F.lit("년")),
         F.concat(F.lit("1급 갑 "), n, F.lit("원 20% 3,000원")), F.concat(F.lit("제"), n, F.lit("조 구분 금액")), F.concat(F.lit("09:00 ~ 12:00 오전 근무 "), n), F.concat(F.lit("구분 금액 비고 "), n), F.concat(F.lit("수당을 "), n, F.lit("원  지급한다.")),
     ]
     row = F.get(F.array(*forms), (k % 10).cast("int"))
-    return table(spark, sf_dir, "part").filter("p_partkey < 1000").select("p_partkey", F.array_join(tables.cells_of_row(row), "/").alias("cells"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tables.cells_of_row(row), "/").alias("cells"))
 
 
 ROW_CELLS_SQL = """
-SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN '구분/' || p_partkey || '/비고' WHEN 1 THEN '직급/' || p_partkey || '/수당' WHEN 2 THEN '대상/직원 ' || p_partkey || '명' WHEN 3 THEN 'A-' || p_partkey || '/인사 기록' WHEN 4 THEN '인사 기록 카드/' || p_partkey || '년'
- WHEN 5 THEN '1급 갑 ' || p_partkey || '원 20% 3,000원' WHEN 6 THEN '제' || p_partkey || '조 구분 금액' WHEN 7 THEN '09:00 ~ 12:00/오전 근무 ' || p_partkey WHEN 8 THEN '구분/금액/비고/' || p_partkey ELSE '수당을 ' || p_partkey || '원  지급한다.' END AS cells FROM part WHERE p_partkey < 1000"""
+SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN '구분/' || p_partkey || '/비고' WHEN 1 THEN '직급/' || p_partkey || '/수당' WHEN 2 THEN '대상/직원 ' || p_partkey || '명' WHEN 3 THEN 'A-' || p_partkey || '/인사 기록' WHEN 4 THEN '인사 기록 카드/' || (p_partkey % 900 + 100) || '년'
+ WHEN 5 THEN '1급 갑 ' || p_partkey || '원 20% 3,000원' WHEN 6 THEN '제' || p_partkey || '조 구분 금액' WHEN 7 THEN '09:00 ~ 12:00/오전 근무 ' || p_partkey WHEN 8 THEN '구분/금액/비고/' || p_partkey ELSE '수당을 ' || p_partkey || '원  지급한다.' END AS cells FROM part"""
 
 
 def table_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,7 @@ SELECT p_partkey, p_partkey % 3 = 0 AS table_like, CASE p_partkey % 3 WHEN 0 THE
 
 def table_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sidecar tables triaged and matched to the chunk of their document that is most like them."""
-    p = table(spark, sf_dir, "part").filter("p_partkey < 3000")
+    p = table(spark, sf_dir, "part")
     doc, k = (F.col("p_partkey") / 3).cast("int").alias("document_id"), F.col("p_partkey")
     cells = F.array(F.array(F.lit("구분"), F.lit("금액")), F.array(F.col("p_name"), F.concat((k * 7).cast("string"), F.lit("원"))), F.array(F.col("p_brand"), F.lit("x")))
     sidecar = tables.triaged(p.select(doc, k.alias("table_id"), F.when(k % 4 == 0, F.array(F.array(F.lit("총칙 ........ 3")))).otherwise(cells).alias("cells"), F.lit(1).alias("page")))
@@ -160,7 +160,7 @@ def table_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MATCHES_SQL = """
-WITH p AS (SELECT * FROM part WHERE p_partkey < 3000)
+WITH p AS (SELECT * FROM part)
 SELECT 'strong_review_match' AS match, count(*) AS n FROM p WHERE p_partkey % 4 <> 0
 UNION ALL SELECT CASE WHEN p_partkey % 4 = 0 THEN 'probable_toc_table' ELSE 'structured_table_candidate' END, count(*) FROM p GROUP BY 1"""
 
