@@ -129,7 +129,7 @@ def entries(word: str) -> list[str]:
 class Restorer:
     """Texts to sets of lexicon entries of their restored words (all entries without a lexicon); remembers tokens, up to a bound."""
 
-    REMEMBERED = 60_000
+    REMEMBERED = 160_000
 
     def __init__(self, model: CharModel, lexicon: set[str] | None = None):
         self.model, self.lexicon, self.known = model, lexicon, {}
