@@ -136,7 +136,7 @@ class Restorer:
 
     def token(self, token: str) -> tuple[str, ...]:
         core = EDGES.sub("", token)
-        if token[:64].strip("".join(LOOKALIKES)) == "" and 2 < len(token) <= 64 and "*" not in token:
+        if token[:64].strip("".join(LOOKALIKES)) == "" and 2 < len(token) <= (4 if token.isdigit() else 64) and "*" not in token:
             return tuple(viterbi(token, self.model))  # digits and signs alone, each of which imitates a letter
         if not core or core.isdigit():
             return ()
