@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from statuta.llm.ann import op10_nearest_neighbours
 from statuta.llm.jaccard import OP3_SQL, op3_jaccard_join
+from statuta.llm.lines import OP11_SQL, op11_line_dedup
 from statuta.llm.lm import OP8_BIGRAMS_SQL, OP8_SQL, op8_lm_scoring, op8_lm_scoring_bigrams
 from statuta.llm.packing import op2_best_fit_packing
+from statuta.llm.periods import op12_period_runs
 from statuta.llm.pieces import op6_pieces
 from statuta.llm.quality import OP1_SQL, op1_quality_rules
 from statuta.llm.secrets import op4_secret_scans
@@ -31,8 +33,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring_bigrams": op8_lm_scoring_bigrams,
         "op9_sharding": op9_sharding,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_period_runs": op12_period_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op5_url_filters": OP5_SQL, "op8_lm_scoring": OP8_SQL, "op8_lm_scoring_bigrams": OP8_BIGRAMS_SQL, "op9_sharding": OP9_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op5_url_filters": OP5_SQL, "op8_lm_scoring": OP8_SQL, "op8_lm_scoring_bigrams": OP8_BIGRAMS_SQL, "op9_sharding": OP9_SQL, "op11_line_dedup": OP11_SQL}
