@@ -17,6 +17,7 @@ from statuta.llm.quality import OP1_SQL, op1_quality_rules
 from statuta.llm.secrets import op4_secret_scans
 from statuta.llm.sharding import OP9_SQL, op9_sharding
 from statuta.llm.toxicity import op7_toxicity
+from statuta.llm.tries import OP13_SQL, op13_conversation_trie
 from statuta.llm.urls import OP5_SQL, op5_url_filters
 
 
@@ -35,8 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_nearest_neighbours": op10_nearest_neighbours,
         "op11_line_dedup": op11_line_dedup,
         "op12_period_runs": op12_period_runs,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op5_url_filters": OP5_SQL, "op8_lm_scoring": OP8_SQL, "op8_lm_scoring_bigrams": OP8_BIGRAMS_SQL, "op9_sharding": OP9_SQL, "op11_line_dedup": OP11_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op5_url_filters": OP5_SQL, "op8_lm_scoring": OP8_SQL, "op8_lm_scoring_bigrams": OP8_BIGRAMS_SQL, "op9_sharding": OP9_SQL, "op11_line_dedup": OP11_SQL, "op13_conversation_trie": OP13_SQL}
