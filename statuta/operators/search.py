@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -20,10 +19,13 @@ from pyspark.sql import types as T
 
 from statuta.functions.korean import token_list
 from statuta.functions.text import compact, tokens
+from statuta.operators import inverted
+from statuta.operators.inverted import Inverted, fingerprint
 from statuta.operators.retrieval import B, K1, literal_score
+from statuta.operators.store import Store
 
 TOKENIZER = "regex-ko-tokenizer-v1"
-BUCKETS = 64
+BODY_TOKENIZER = "fields-v1"
 
 # Weights of metadata fields in the index.
 FIELD_WEIGHTS = {
@@ -66,102 +68,114 @@ def field_values(records: DataFrame, title_weight: int = 2) -> Column:
     return F.filter(F.concat(F.array().cast("array<struct<value:string,weight:int>>"), *parts), lambda x: x["value"].isNotNull())
 
 
-def weighted_postings(records: DataFrame, key: str = "id", text: str = "text", title_weight: int = 2) -> DataFrame:
-    """(key, term, tf, len): weighted frequencies and the record's length, their sum."""
-    rows = records.select(key, weighted_terms(F.coalesce(text, F.lit("")), field_values(records, title_weight)).alias("terms"))
-    rows = rows.withColumn("len", F.aggregate(F.map_values("terms"), F.lit(0), lambda a, x: a + x))
-    return rows.select(key, "len", F.explode("terms").alias("term", "tf")).select(key, "term", "tf", "len")
+def weighted_records(key: str = "id", text: str = "text", content_hash: str = "content_hash", group: str | None = None, title_weight: int = 2) -> inverted.Analysis:
+    """Records' weighted frequencies, one count a term; group: what an update replaces as one (a document), each record by itself for None."""
 
+    def analyse(records: DataFrame) -> DataFrame:
+        made = weighted_terms(F.coalesce(text, F.lit("")), field_values(records, title_weight))
+        marks = [F.col(key).alias("key"), F.col(group or key).cast("string").alias("grp"), F.lit(None).cast("string").alias("unit"), F.col(content_hash).alias("hash")]
+        rows = records.select(*marks, made.alias("made"))
+        length = F.aggregate(F.map_values("made"), F.lit(0), lambda a, x: a + x)
+        return rows.select("key", "grp", "unit", "hash", length.alias("len"), F.transform_values("made", lambda _, v: F.array(v)).alias("terms"))
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return analyse
 
 
-def fingerprint(records: DataFrame, content_hash: str) -> str:
-    """Order-independent hash of all content hashes: their count, sum and xor (a partial aggregate, whatever the size)."""
-    h = F.xxhash64(F.col(content_hash))
-    row = records.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s")).first()
-    return f"{row['n']}-{row['x'] or 0}-{row['s'] or 0}"
+@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+def counts_by_field(fields: pd.Series) -> pd.Series:
+    """How often each token is in each of a row's lists of tokens."""
 
+    def one(lists: list) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for k, tokens_ in enumerate(lists):
+            for term in tokens_:
+                out.setdefault(term, [0] * len(lists))[k] += 1
+        return out
 
-def build_index(records: DataFrame, folder: str, key: str = "id", text: str = "text", content_hash: str = "content_hash") -> str:
-    """Writes postings and terms by bucket of their term and one row of statistics to a new version folder, then points `current` at it. A reader sees the
-    whole old index or the whole new one; a build that fails leaves the pointer alone. Returns the version's folder."""
-    version = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
-    entries = weighted_postings(records, key, text).withColumn("bucket", bucket_of(F.col("term")))
-    entries.repartition("bucket").write.partitionBy("bucket").parquet(f"{version}/postings")
-    stored = records.sparkSession.read.parquet(f"{version}/postings")
-    stored.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.partitionBy("bucket").parquet(f"{version}/terms")
-    lengths = stored.groupBy(key).agg(F.first("len").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg("len"), F.lit(0.0)), 6).alias("avg_len"))
-    marks = F.struct(F.lit(TOKENIZER).alias("tokenizer"), F.lit(fingerprint(records, content_hash)).alias("fingerprint"), F.lit(key).alias("key"))
-    stats.select("*", marks.alias("m")).select("n", "avg_len", "m.*").coalesce(1).write.parquet(f"{version}/stats")
-    publish(records.sparkSession, folder, version)
-    return version
+    return fields.map(one)
 
 
-def publish(spark: SparkSession, folder: str, version: str) -> None:
-    """Points a folder at one of its versions: the pointer is written aside and renamed, so it is never half written."""
-    jvm = spark._jvm
-    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
-    fs = path("current").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    aside = path(f"current-{uuid.uuid4().hex}")
-    stream = fs.create(aside, True)
-    stream.writeBytes(version)
-    stream.close()
-    fs.delete(path("current"), False)
-    fs.rename(aside, path("current"))
+def body_records(key: str = "id", version: str = "version_id", content_hash: str = "content_hash") -> inverted.Analysis:
+    """Chunks' tokens counted by field, in the order of BODY_FIELDS; the version is the unit that a search is narrowed to."""
 
+    def analyse(chunks: DataFrame) -> DataFrame:
+        lists = F.array(*[tokens(F.col(f)) if f in chunks.columns else F.array().cast("array<string>") for f in BODY_FIELDS])
+        marks = [F.col(key).alias("key"), F.col(version).cast("string").alias("grp"), F.col(version).cast("string").alias("unit"), F.col(content_hash).alias("hash")]
+        rows = chunks.select(*marks, lists.alias("lists"))
+        return rows.select("key", "grp", "unit", "hash", F.size(F.flatten("lists")).alias("len"), counts_by_field("lists").alias("terms"))
 
-def current(spark: SparkSession, folder: str) -> str | None:
-    """The version a folder points at, if any."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/current")
-    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
-        return None
-    return spark.read.text(str(path.toString())).first()[0]
+    return analyse
+
+
+def kind_of(tokenizer: str, key: str) -> str:
+    return f"{tokenizer}:{key}"
+
+
+def build_index(records: DataFrame, folder: str, key: str = "id", text: str = "text", content_hash: str = "content_hash", group: str | None = None) -> int:
+    """Puts a whole index of records into a folder's next version and returns its number; a build that fails leaves the version before as it is."""
+    store = Store(records.sparkSession, folder)
+    return inverted.build(store, records, weighted_records(key, text, content_hash, group), kind_of(TOKENIZER, key))["number"]
+
+
+def update_index(folder: str, changed: DataFrame, groups: DataFrame, whole: DataFrame, group: str, key: str = "id", text: str = "text", content_hash: str = "content_hash", before_print: str | None = None) -> bool:
+    """The index with the records `changed` in place of all of `groups` (grp); False if it was built anew from `whole`."""
+    analyse = weighted_records(key, text, content_hash, group)
+    return inverted.update(Store(whole.sparkSession, folder), changed, groups, analyse, kind_of(TOKENIZER, key), whole, before_print)[1]
+
+
+def build_catalog(versions: DataFrame, chunks: DataFrame, folder: str, contents: DataFrame | None = None, references: DataFrame | None = None, key: str = "id") -> int:
+    """The catalog on disk: versions, contents, references and chunks beside an index of the chunks' fields, all in one version of the folder."""
+    tables = {"versions": versions, "chunks": chunks, "contents": contents, "references": references}
+    made = inverted.build(Store(chunks.sparkSession, folder), chunks, body_records(key), kind_of(BODY_TOKENIZER, key), {n: t for n, t in tables.items() if t is not None})
+    return made["number"]
+
+
+def current(spark: SparkSession, folder: str) -> int | None:
+    """The number of a folder's newest version, if any."""
+    numbers = Store(spark, folder).numbers()
+    return numbers[-1] if numbers else None
 
 
 @dataclass(frozen=True)
-class Index:
-    """An index version, opened: its statistics are one row, its postings stay where they are."""
+class Index(Inverted):
+    """An index version, opened for ranking."""
 
-    spark: SparkSession
-    version: str
-    n: int
-    avg_len: float
-    key: str
-    fingerprint: str
+    tokenizer = TOKENIZER
 
     @classmethod
-    def open(cls, spark: SparkSession, version: str) -> Index:
-        row = spark.read.parquet(f"{version}/stats").first()
-        if row["tokenizer"] != TOKENIZER:
-            raise ValueError(f"index of another tokenizer: {row['tokenizer']}")
-        return cls(spark, version, row["n"], row["avg_len"], row["key"], row["fingerprint"])
+    def open(cls, spark: SparkSession, folder: str, number: int | None = None) -> Index:
+        index = super().open(spark, folder, number)
+        if index.manifest["kind"].rpartition(":")[0] != cls.tokenizer:
+            raise ValueError(f"index of another tokenizer: {index.manifest['kind']}")
+        return index
+
+    @property
+    def key(self) -> str:
+        return self.manifest["kind"].rpartition(":")[2]
+
+    @property
+    def fingerprint(self) -> str:
+        return self.manifest["fingerprint"]
 
     def stale_for(self, records: DataFrame, content_hash: str = "content_hash") -> bool:
+        """Reads all records; who keeps a record table's fingerprint compares that instead."""
         return self.fingerprint != fingerprint(records, content_hash)
 
-    def part(self, name: str, terms: list[str]) -> DataFrame:
-        """Rows of some terms; only their buckets are read."""
-        rows = self.spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
-        buckets = [r[0] for r in rows.select(bucket_of(F.col("term"))).distinct().collect()]  # of one query's terms
-        return self.spark.read.parquet(f"{self.version}/{name}").filter(F.col("bucket").isin(buckets) & F.col("term").isin(list(dict.fromkeys(terms))))
+    def none(self) -> DataFrame:
+        return self.matches(["-"]).select(F.col("key").alias(self.key), F.lit(0.0).alias("score")).limit(0)
 
     def score(self, terms: list[str], allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
         """(key, score) of records with a positive score; allowed: the ids that may be found. Repeated query terms count as often as they stand."""
         counts = Counter(unicodedata.normalize("NFC", t.strip().lower()) for t in terms if t and t.strip())
-        if not counts:
-            return self.spark.createDataFrame([], f"{self.key} string, score double")
-        df = {r["term"]: r["df"] for r in self.part("terms", list(counts)).collect()}  # at most a row for each query term
+        df = self.frequencies(list(counts)) if counts else {}
         weight = {t: q * math.log(1 + (self.n - df[t] + 0.5) / (df[t] + 0.5)) for t, q in counts.items() if t in df}
         if not weight:
-            return self.part("postings", list(counts)).select(self.key, F.lit(0.0).alias("score")).limit(0)
-        rows = self.part("postings", list(weight))
+            return self.none()
+        rows = self.matches(list(weight)).withColumnRenamed("key", self.key)
         if allowed is not None:
             rows = rows.join(allowed.select(self.key).distinct(), self.key, "left_semi")
         idf = F.create_map(*[F.lit(x) for pair in weight.items() for x in pair])[F.col("term")]
-        tf = F.col("tf")
+        tf = F.get("tfs", 0)
         part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / (self.avg_len or 1.0)))
         return rows.groupBy(self.key).agg(F.round(F.sum(part), 8).alias("score")).filter("score > 0")
 
@@ -170,30 +184,56 @@ class Index:
 
     def cold_terms(self, query: str) -> list[str]:
         """The query's terms and parts of its words that the index knows, so compounds are found that the tokenizer does not split."""
-        flat = unicodedata.normalize("NFC", query).lower()
-        terms = token_list(flat, distinct=False)
-        words = [w for w in re.findall(r"[0-9a-z가-힣]+", flat)[:64] if 3 <= len(w) <= 64]
+        folded = unicodedata.normalize("NFC", query).lower()
+        terms = token_list(folded, distinct=False)
+        words = [w for w in re.findall(r"[0-9a-z가-힣]+", folded)[:64] if 3 <= len(w) <= 64]
         pieces = {w[i:j] for w in words for i in range(len(w)) for j in range(i + 2, min(len(w), i + 32) + 1)}
-        known = {r["term"] for r in self.part("terms", sorted(pieces)).collect()} if pieces else set()  # bounded by the query
+        known = set(self.frequencies(sorted(pieces))) if pieces else set()  # bounded by the query
         extra = [s for w in words for s in segments(w, known)]
         return terms + [s for s in dict.fromkeys(extra) if s not in set(terms)]
 
 
+@dataclass(frozen=True)
+class BodyIndex(Index):
+    """The catalog's index of chunks by field."""
+
+    tokenizer = BODY_TOKENIZER
+
+    def body_scores(self, query: str, within: DataFrame, version: str = "version_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """(key, retrieval_score) of the chunks of the versions in `within`, as `body_scores` has them, from the buckets of the query's terms alone."""
+        terms = query_terms(query)
+        prefixes = [t for t in terms if ARTICLE_TERM.match(t)]
+        exact = [t for t in terms if t not in prefixes]
+        if not terms:
+            return self.none().withColumnRenamed("score", "retrieval_score")
+        weights = F.array(*[F.lit(w) for w in BODY_FIELDS.values()])
+        weighted = F.aggregate(F.zip_with("tfs", weights, lambda n, w: n * w), F.lit(0.0), lambda a, x: a + x)
+        hits = self.matches(exact, prefixes).groupBy("key", "unit", "len", "term").agg(F.sum(weighted).alias("tf"))
+        df = self.frequencies(exact) if exact else {}
+        if prefixes:
+            df |= {r["term"]: r["n"] for r in hits.filter(F.col("term").isin(prefixes)).groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most a row a term
+        if not df:
+            return self.none().withColumnRenamed("score", "retrieval_score")
+        idf = F.create_map(*[F.lit(x) for t, n in df.items() for x in (t, max(1e-6, math.log((self.n - n + 0.5) / (n + 0.5))))])[F.col("term")]
+        mean = self.manifest["length"] / max(1, self.n)
+        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (mean or 1.0)))
+        rows = hits.join(within.select(F.col(version).cast("string").alias("unit")).distinct(), "unit", "left_semi")
+        return rows.groupBy(F.col("key").alias(self.key)).agg((1 - 1 / (1 + F.sum(part))).alias("retrieval_score"))
+
+
 def segments(word: str, known: set[str]) -> tuple[str, ...]:
-    """The way to cut a word into known parts of two letters or more that covers the most of it, then begins the earliest, with the most parts. The word
-    itself is no part."""
-    n = len(word)
-    best: list[tuple[int, int, int, int, tuple[str, ...]]] = [(0, 0, -n, 0, ())] * (n + 1)
-    for at in range(n - 1, -1, -1):
-        covered, skipped, first, count, parts = best[at + 1]
-        options = [(covered, skipped - 1, max(-n, first - 1), count, parts)]
-        for end in range(at + 2, min(n, at + 32) + 1):
-            part = word[at:end]
-            if part in known and any(c.isalpha() for c in part) and (at, end) != (0, n):
-                c, s, _, k, rest = best[end]
-                options.append((c + end - at, s, 0, k + 1, (part, *rest)))
-        best[at] = max(options, key=lambda o: o[:4])
-    return best[0][4]
+    """The known parts (two characters or more, with a letter, not the whole word) that cover the most of a word; of equal covers the one that begins
+    first, then the one with the most parts, then the one whose first parts are longest.
+
+    A chain of parts is as good as its beginning lets it be, so the best chain up to every place is kept and each part extends the one before it."""
+    spans = [(i, j) for i in range(len(word)) for j in range(i + 2, min(len(word), i + 32) + 1)]
+    spans = [(i, j) for i, j in spans if j - i < len(word) and word[i:j] in known and not word[i:j].isdigit() and any(map(str.isalpha, word[i:j]))]
+    rank = lambda chain: (sum(j - i for i, j in chain), -chain[0][0] if chain else 0, len(chain), [j - i for i, j in chain])
+    upto: list[tuple[tuple[int, int], ...]] = [()]
+    for place in range(1, len(word) + 1):
+        ending = [(*upto[i], (i, j)) for i, j in spans if j == place]
+        upto.append(max([upto[-1], *ending], key=rank))
+    return tuple(word[i:j] for i, j in upto[-1])
 
 
 # How queries name regulations, places and attachments; fields that hold them; points of the structured boost and its cap.
@@ -218,6 +258,8 @@ def flat(text: str) -> str:
 
 def named_titles(records: DataFrame, query: str, title: str = "regulation_title") -> list[str]:
     """Keys of titles that the query names: at the beginning of a word, and not only inside a longer title that it names too."""
+    if title not in records.columns:
+        return []
     bare, low = flat(query), unicodedata.normalize("NFC", query).lower()
     key = flat_key(F.col(title))
     rows = records.select(key.alias("k")).filter((F.length("k") >= 4) & F.lit(bare).contains(F.col("k"))).distinct()
@@ -373,10 +415,10 @@ def promoted(scored: DataFrame, records: DataFrame, query: str, key: str = "id",
     return both.withColumn("score", F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).drop("gain")
 
 
-def cascade(records: DataFrame, query: str, index: Index | None, k: int, key: str = "id", content_hash: str = "content_hash") -> DataFrame:
+def cascade(records: DataFrame, query: str, index: Index | None, k: int, key: str = "id", content_hash: str = "content_hash", record_print: str | None = None) -> DataFrame:
     """The k best records with score and model: BM25 over the index; literal matches where it finds none; without an index, or with one of other content, literal
-    matches, else counts of words."""
-    fresh = index is not None and not index.stale_for(records, content_hash)
+    matches, else counts of words. record_print: the fingerprint of the record table, where it is known; else all records are read for it."""
+    fresh = index is not None and index.fingerprint == (record_print or fingerprint(records, content_hash))
     if fresh:
         found = index.search(expanded(query), records)
         if not found.isEmpty():
@@ -440,15 +482,21 @@ def body_scores(chunks: DataFrame, query: str, within: DataFrame, version: str =
     return chunks.join(within.select(version).distinct(), version, "left_semi").withColumn("retrieval_score", points).filter("retrieval_score > 0")
 
 
-def catalog_search(versions: DataFrame, chunks: DataFrame, query: str, k: int, index: Index | None = None) -> DataFrame:
+def catalog_search(versions: DataFrame, chunks: DataFrame, query: str, k: int, index: Index | None = None, body: BodyIndex | None = None) -> DataFrame:
     """The k best chunks by way of the catalog: versions by their catalog score (the first max(5, min(16, 3k)) with points, all if none has), their bodies, both
     scores together, the reranking where there is an index; order: score, revision date, path, all descending.
 
-    versions: version_id, title, regulation_no, search_text, revision_date, already as of a day and visible; chunks: version_id, id and BODY_FIELDS."""
+    versions: version_id, title, regulation_no, search_text, revision_date, already as of a day and visible; chunks: version_id, id and BODY_FIELDS; body: their index
+    (without it, or where no chunk has a term as a token, the chunks themselves are read)."""
     ranked = ranked_versions(versions, query)
     best = ranked.filter("catalog_score > 0").orderBy(F.desc("catalog_score"), F.desc("revision_date"), F.desc("title"), "version_id").limit(max(5, min(16, 3 * k)))
     chosen = ranked if best.isEmpty() else best
-    rows = body_scores(chunks, query, chosen).orderBy(F.desc("retrieval_score"), "id").limit(max(6 * k, 24))
+    most = max(6 * k, 24)
+    found = body.body_scores(query, chosen).orderBy(F.desc("retrieval_score"), "id").limit(most) if body is not None else None
+    if found is not None and not found.isEmpty():
+        rows = chunks.join(F.broadcast(found), "id")  # at most `most` rows
+    else:
+        rows = body_scores(chunks, query, chosen).orderBy(F.desc("retrieval_score"), "id").limit(most)
     rows = rows.join(F.broadcast(chosen.select("version_id", "catalog_score", "revision_date")) if chosen is best else chosen.select("version_id", "catalog_score", "revision_date"), "version_id")
     rows = rows.withColumn("score", F.round(F.col("retrieval_score") + F.least("catalog_score", F.lit(100.0)) / 100, 8))
     if index is not None:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.functions import korean
-from statuta.operators import search
+from statuta.operators import inverted, search
+from statuta.operators.store import Store
 from statuta.plans.fixtures import both
 from statuta.session import shared_folder, table
 
@@ -34,7 +35,7 @@ def weighted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
     folder = shared_folder(spark)
     search.build_index(rows, folder)
-    return search.Index.open(spark, search.current(spark, folder)).search("beta w3 휴직자 제5조").select("id", F.round("score", 6).alias("score"))
+    return search.Index.open(spark, folder).search("beta w3 휴직자 제5조").select("id", F.round("score", 6).alias("score"))
 
 
 WEIGHTED_SQL = f"""
@@ -45,6 +46,22 @@ SELECT id, round(round(2 * ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.5 / (a
  + ln(1 + (docs - dh + 0.5) / (dh + 0.5)) * h * 2.5 / (h + z), 8), 6) AS score FROM p WHERE a + b + w + h > 0"""
 
 
+def updated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of weighted_search after an index of older records took three updates (a group with other words, three new groups, a group removed) and was compacted."""
+    rows = records(spark, sf_dir).withColumn("grp", (F.col("k") % 10).cast("string"))
+    folder, now = shared_folder(spark), rows.filter("k % 10 <> 0")
+    old = rows.filter("k % 10 < 7").withColumn("text", F.when(F.col("k") % 10 == 3, F.lit("w3 w3 w3 other beta")).otherwise(F.col("text"))).withColumn("content_hash", F.sha2("text", 256))
+    search.build_index(old, folder, group="grp")
+    for groups in (["3"], ["7", "8", "9"], ["0"]):
+        changed = now.filter(F.col("grp").isin(groups))
+        search.update_index(folder, changed, spark.createDataFrame([(g,) for g in groups], "grp string"), now, "grp")
+    inverted.compact(Store(spark, folder))
+    return search.Index.open(spark, folder).search("beta w3 휴직자 제5조").select("id", F.round("score", 6).alias("score"))
+
+
+UPDATED_SQL = WEIGHTED_SQL.replace(f"FROM ({RECORDS})", f"FROM (SELECT * FROM ({RECORDS}) WHERE k % 10 <> 0)")
+
+
 def structured_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
     return rows.select("id", search.structured_boost(rows, "인사규정 제5조 휴직자").alias("boost"))
@@ -79,6 +96,31 @@ t AS (SELECT *, 1 - 1 / (1 + z) AS ret, CASE WHEN reg = 0 THEN 128.0 ELSE 4.0 EN
 SELECT id, round(round(ret + least(cat, 100) / 100, 8), 6) AS score, cat::DOUBLE AS catalog_score FROM t ORDER BY round(ret + least(cat, 100) / 100, 8) DESC, reg DESC, path DESC, id LIMIT 5"""
 
 
+def body_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """catalog_body_search from the catalog on disk: versions and chunks from its tables, bodies from the buckets of the query's terms."""
+    folder = shared_folder(spark)
+    search.build_catalog(versions(spark, sf_dir), records(spark, sf_dir), folder)
+    body = search.BodyIndex.open(spark, folder)
+    out = search.catalog_search(body.table("versions"), body.table("chunks"), "휴직자 인사규정", 5, body=body)
+    return out.select("id", F.round("score", 6).alias("score"), "catalog_score")
+
+
+def article_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of two regulations by an article number, which is the beginning of other numbers, and a word."""
+    folder = shared_folder(spark)
+    rows = records(spark, sf_dir).withColumn("article_no", F.when(F.col("k") % 4 == 0, F.concat("article_no", F.lit("의2"))).otherwise(F.col("article_no")))
+    search.build_catalog(versions(spark, sf_dir), rows, folder)
+    body = search.BodyIndex.open(spark, folder)
+    return body.body_scores("제7조 휴직자", body.table("versions").filter("version_id IN ('v0', 'v1')")).select("id", F.round("retrieval_score", 6).alias("score"))
+
+
+PREFIX_SQL = f"""
+WITH r AS (SELECT *, 10.0 * (k % 30 = 6)::INT AS a, 12.0 * (k % 6 = 1)::INT AS b, 8 + (k % 3 = 0)::INT AS n FROM ({RECORDS})),
+s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM r)
+SELECT id, round(1 - 1 / (1 + greatest(1e-6, ln((docs - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean))
+    + greatest(1e-6, ln((docs - db + 0.5) / (db + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM r, s WHERE a + b > 0 AND reg < 2"""
+
+
 def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An article that is there, by title and number, and one that is not, by way of the search."""
     rows = records(spark, sf_dir).withColumn("regulation_no", F.col("regulation_no0"))
@@ -94,15 +136,22 @@ SELECT 'search' AS way, id FROM ({CATALOG_BODY_SQL}) UNION ALL SELECT * FROM (SE
 def search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ways of the fallback: the index, literal matches where it finds none, and literal matches with an index of other records."""
     rows = records(spark, sf_dir)
-    index = search.Index.open(spark, search.build_index(rows, shared_folder(spark)))
-    first = search.cascade(rows, "w3", index, 7)
-    second = search.cascade(rows, "lpha3", index, 7)
+    folder = shared_folder(spark)
+    search.build_index(rows, folder)
+    index = search.Index.open(spark, folder)
+    part = lambda n, df: df.select(F.lit(n).alias("way"), "model", "id", F.round("score", 6).alias("score"))
+    first = search.cascade(rows, "w3", index, 7, record_print=index.fingerprint)
+    second = search.cascade(rows, "lpha3", index, 7, record_print=index.fingerprint)
     third = search.cascade(rows.filter("k % 2 = 0"), "alpha5", index, 7)
-    part = lambda n, df: df.groupBy("model").agg(F.lit(n).alias("way"), F.count("*").alias("n"), F.min(F.pmod(F.col("k"), F.lit(91))).alias("least"))
-    return part(1, first).unionByName(part(2, second)).unionByName(part(3, third)).select("way", "model", "n")
+    return part(1, first).unionByName(part(2, second)).unionByName(part(3, third))
 
 
-CASCADE_SQL = """SELECT * FROM (VALUES (1, 'bm25', 7::BIGINT), (2, 'literal', 7), (3, 'literal', 7)) AS t(way, model, n)"""
+CASCADE_SQL = f"""
+WITH r AS (SELECT *, 34 + (k % 3 = 0)::INT AS n FROM ({RECORDS})),
+s AS (SELECT count(*) AS docs, round(avg(n), 6) AS mean, count(*) FILTER (k % 13 = 3) AS dw FROM r)
+SELECT * FROM (SELECT 1 AS way, 'bm25' AS model, id, round(round(ln(1 + (docs - dw + 0.5) / (dw + 0.5)) * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * n / mean)), 8), 6) AS score FROM r, s WHERE k % 13 = 3 ORDER BY score DESC, id LIMIT 7)
+UNION ALL SELECT * FROM (SELECT 2, 'literal', id, 12.0::DOUBLE FROM r WHERE k % 7 = 3 ORDER BY id LIMIT 7)
+UNION ALL SELECT * FROM (SELECT 3, 'literal', id, 12.0::DOUBLE FROM r WHERE k % 7 = 5 AND k % 2 = 0 ORDER BY id LIMIT 7)"""
 
 
 def offline_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +201,9 @@ KOREAN_SQL = """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '휴직을 휴
 
 QUERIES = {
     "weighted_search": (weighted_search, WEIGHTED_SQL),
+    "updated_index": (updated_index, UPDATED_SQL),
+    "body_index_search": (body_index_search, CATALOG_BODY_SQL),
+    "article_prefixes": (article_prefixes, PREFIX_SQL),
     "structured_boosts": (structured_boosts, BOOSTS_SQL),
     "domain_boosts": (domain_boosts, DOMAIN_SQL),
     "catalog_body_search": (catalog_body_search, CATALOG_BODY_SQL),

@@ -58,7 +58,7 @@ def test_index_versions_and_cold_words(spark, tmp_path):
     first = search.build_index(rows, folder)
     second = search.build_index(rows.filter("id <> 'c'"), folder)
     assert search.current(spark, folder) == second != first
-    index = search.Index.open(spark, first)
+    index = search.Index.open(spark, folder, first)
     assert not index.stale_for(rows) and index.stale_for(rows.limit(1))
     found = lambda q, allowed=None: {r["id"] for r in index.search(q, allowed).collect()}
     assert found("foo-bar") == {"c"} and found("수당") == {"a"} and found("zzz") == set() and found("") == set()
