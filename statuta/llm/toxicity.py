@@ -1,7 +1,7 @@
 """Operator 7: toxicity by noisy-channel deobfuscation.
 
 A character trigram model is counted over the words of all documents (a word once per row; equal rows each). A token that looks disguised (a letter
-repeated three times or more, digits or signs among its letters, single letters spaced out) becomes a lattice: each
+repeated three times or more, digits or signs among its letters, digits and signs alone, single letters spaced out) becomes a lattice: each
 written character may stand for itself or for the letters it imitates, a repeated character for one or two,
 a gap for nothing or a word end, each at a price. Viterbi decoding under the model finds the likeliest word. The
 restored text is then scored: a logistic regression over a lexicon of words and word beginnings whose presence tells
@@ -54,6 +54,7 @@ REPEATED = re.compile(r"(.)\1\1")
 DISGUISE = re.compile(r"[^\W\d_].*[\d@$!|+(<€£¢§*._~-]|[\d@$!|+(<€£¢§*._~-].*[^\W\d_]")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){2,}[^\W_](?!\S)")
 WORDS = re.compile(r"[^\W_]+")
+RUNS = re.compile(r"(.)\1+")
 
 
 @dataclass
@@ -126,6 +127,16 @@ def entries(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in BEGINNINGS if len(word) > k]]
 
 
+def number_forms(lexicon: set[str]) -> re.Pattern[str]:
+    """How a number begins that may stand for a lexicon entry: for each letter one digit or more that imitates it. No other number can give an entry."""
+    forms = set()
+    for entry in lexicon:
+        digits = ["".join(d for d, letters in LOOKALIKES.items() if d.isdigit() and (c in letters or c == d)) for c in entry.rstrip("*")]
+        if all(digits):
+            forms.add("".join(f"[{d}]+" for d in digits))
+    return re.compile("|".join(sorted(forms)) or "(?!)")
+
+
 class Restorer:
     """Texts to sets of lexicon entries of their restored words (all entries without a lexicon); remembers tokens, up to a bound."""
 
@@ -133,10 +144,16 @@ class Restorer:
 
     def __init__(self, model: CharModel, lexicon: set[str] | None = None):
         self.model, self.lexicon, self.known = model, lexicon, {}
+        self.numbers = None if lexicon is None else number_forms(lexicon)
+        self.longest = 2 * max(map(len, lexicon or ("",)))
+
+    def idle_number(self, token: str) -> bool:
+        """A number whose letters are no entry's, so that it need not be decoded. Long runs of a digit are two at the most there."""
+        return self.numbers is not None and token.isdigit() and not self.numbers.match(RUNS.sub(r"\1\1", token)[: self.longest])
 
     def token(self, token: str) -> tuple[str, ...]:
         core = EDGES.sub("", token)
-        if token[:64].strip("".join(LOOKALIKES)) == "" and 2 < len(token) <= (4 if token.isdigit() else 64) and "*" not in token:
+        if len(token) > 2 and "*" not in token and token.strip("".join(LOOKALIKES)) == "":
             return tuple(viterbi(token, self.model))  # digits and signs alone, each of which imitates a letter
         if not core or core.isdigit():
             return ()
@@ -157,6 +174,8 @@ class Restorer:
         found: set[str] = set()
         known = self.known
         for t in set(text.split()):
+            if self.idle_number(t):
+                continue
             own = known.get(t)
             if own is None:
                 own = self.told(self.token(t))
