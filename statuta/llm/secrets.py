@@ -7,8 +7,8 @@ takes that name's constant, and "a" + "b" joins the constants, so a value is fol
 reaches. A literal's score is the sensitivity of its target name times the strength of its value (in steps of 1/64); at LEXED_SCORE
 or more, the literal's own span is added with kind lexed unless a base span covers it.
 
-A constant is held as counts and places, never as joined text: a = a + a in many lines, long chains k1=k2=... and long runs of marks
-take time and memory in proportion to the text.
+A constant is held as counts and places, never as joined text, and the places of joined literals as plain numbers: a = a + a in many lines, "x" + "x" + ...,
+long chains k1=k2=... and long runs of marks take time and memory in proportion to the text.
 
 Defined results: a null text is an empty one and has no spans; an empty table gives no rows; a null id stays null. Very long texts, literals and names
 are read in full. Spans are in code points, end exclusive. Repeated rows give a row each. Other columns are carried through by
@@ -19,10 +19,13 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +64,7 @@ def sensitivity(name: str) -> float:
 class Value:
     """What a constant's score needs, instead of its text: length, counts of characters while they hold less than FULL_BITS of entropy
     (more characters never make it less, so beyond that they are not needed), first and last characters, and where its
-    literals stand. A joined value keeps its two parts, so places are shared and never copied."""
+    literals stand: parts is (start, end) of a literal, or (an array of starts and ends, joined values) of a joined value, whose values are shared and never copied."""
 
     __slots__ = ("alpha", "counts", "head", "marked", "n", "only_x", "parts", "tail", "url")
 
@@ -99,18 +102,34 @@ def literal(text: str, start: int, end: int) -> Value:
     return Value(end - start, counts, own.isalpha(), bool(own) and not own.strip("xX"), "://" in own, own[:8], own[-2:], (start, end))
 
 
-def joined_value(a: Value, b: Value) -> Value:
-    if not a.n or not b.n:
-        return b if not a.n else a
-    n, counts = min(MOST, a.n + b.n), None
-    if a.counts is not None and b.counts is not None:
-        counts = dict(a.counts)
-        for char, k in b.counts.items():
-            counts[char] = min(MOST, counts.get(char, 0) + k)
-        counts = open_counts(counts, sum(counts.values()))
-    head = a.head if a.n >= 8 else (a.head + b.head)[:8]
-    tail = b.tail if b.n >= 2 else (a.tail + b.tail)[-2:]
-    return Value(n, counts, a.alpha and b.alpha, a.only_x and b.only_x, a.url or b.url or "://" in a.tail + b.head, head, tail, (a, b))
+class Joint:
+    """Values joined one after another."""
+
+    def __init__(self) -> None:
+        self.n, self.counts, self.alpha, self.only_x, self.url, self.head, self.tail = 0, {}, True, True, False, "", ""
+        self.spans, self.values = array("q"), []
+
+    def add(self, v: Value) -> Joint:
+        if not v.n:
+            return self
+        if isinstance(v.parts[0], int):
+            self.spans.extend(v.parts)
+        else:
+            self.values.append(v)
+        self.url = self.url or v.url or "://" in self.tail + v.head
+        self.head = (self.head + v.head)[:8]
+        self.tail = v.tail if v.n >= 2 else (self.tail + v.tail)[-2:]
+        self.n, self.alpha, self.only_x = min(MOST, self.n + v.n), self.alpha and v.alpha, self.only_x and v.only_x
+        if self.counts is not None and v.counts is not None:
+            for char, k in v.counts.items():
+                self.counts[char] = min(MOST, self.counts.get(char, 0) + k)
+            self.counts = open_counts(self.counts, sum(self.counts.values()))
+        else:
+            self.counts = None
+        return self
+
+    def value(self) -> Value:
+        return Value(self.n, self.counts, self.alpha and self.n > 0, self.only_x and self.n > 0, self.url, self.head, self.tail, (self.spans, self.values))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -124,8 +143,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def name_before(text: str, at: int) -> str:
-    """The name that ends before a mark, perhaps in quotes or brackets; marks part names, so no character is read for two of them."""
+def name_before(text: str, at: int) -> tuple[int, int]:
+    """Where the name stands that ends before a mark, perhaps in quotes or brackets; marks part names, so no character is read for two of them."""
     end = at
     while end and text[end - 1] in " \t":
         end -= 1
@@ -136,108 +155,132 @@ def name_before(text: str, at: int) -> str:
     start = end
     while start and text[start - 1] in NAME:
         start -= 1
-    return text[start:end]
+    return start, end
 
 
-def run_values(text: str, starts: list[int], end: int) -> list[Value]:
-    """Values of bare literals that begin at ascending places of one run of characters and all end with it. They are
-    read once, from the right: each adds its own characters to what follows."""
+def run_values(text: str, starts: array, end: int) -> Iterator[Value]:
+    """Values of bare literals that begin at ascending places of one run of characters and all end with it, from the last to the
+    first. The run is read once: each literal adds its own characters to what follows."""
     last = end
     while last > starts[-1] + 1 and text[last - 1] in ".:!?":
         last -= 1
     own = literal(text, starts[-1], last)
-    values, tail, counts, at, url = [own], own.tail, own.counts, starts[-1], own.url
-    only_x = own.only_x
-    for start in reversed(starts[:-1]):
+    yield own
+    tail, counts, at, url, only_x = own.tail, own.counts, starts[-1], own.url, own.only_x
+    for k in range(len(starts) - 2, -1, -1):
+        start = starts[k]
         added = text[start:at]
         if counts is not None:
             counts = dict(counts)
-            for char, k in Counter(added).items():
-                counts[char] = counts.get(char, 0) + k
+            for char, n in Counter(added).items():
+                counts[char] = counts.get(char, 0) + n
             counts = open_counts(counts, last - start)
         url = url or "://" in added + text[at : at + 2]
         only_x = only_x and not added.strip("xX")
         tail = tail if len(tail) == 2 else text[max(start, last - 2) : last]
-        values.append(Value(last - start, counts, False, only_x, url, text[start : min(last, start + 8)], tail, (start, last)))
+        yield Value(last - start, counts, False, only_x, url, text[start : min(last, start + 8)], tail, (start, last))
         at = start
-    return values[::-1]
 
 
 def chain(text: str, at: int, known: dict[str, Value]) -> Value | None:
     """What '+' joins on after a literal: quoted parts and names with their constants."""
-    value = None
     m = JOINED.match(text, at)
+    if not m:
+        return None
+    joint = Joint()
     while m:
         group = m.lastindex
         part = known.get(m[3]) if group == 3 else None
-        part = part or literal(text, *m.span(group))
-        value = part if value is None else joined_value(value, part)
+        joint.add(part or literal(text, *m.span(group)))
         m = JOINED.match(text, m.end())
-    return value
+    return joint.value()
 
 
-def mark_places(value: Value, score: float, found: dict[tuple[int, int], float]) -> None:
-    """Gives a score to every literal of a value. Parts that had this score before are passed by, and scores have 64 steps, so
-    shared parts are visited at most so many times."""
-    todo = [value]
-    while todo:
-        v = todo.pop()
-        if v.marked >= score:
-            continue
-        v.marked = score
-        if isinstance(v.parts[0], Value):
-            todo += v.parts
-        else:
-            found[v.parts] = max(score, found.get(v.parts, 0.0))
+class Found:
+    """Places with scores, as plain numbers."""
 
+    def __init__(self) -> None:
+        self.spans, self.scores = array("q"), array("d")
 
-def lexed_spans(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of the literals that reach a sensitive name. Time and memory grow with the text's length only."""
+    def mark(self, value: Value, score: float) -> None:
+        """Gives a score to every literal of a value. Parts that had this score before are passed by, and scores have 64 steps, so
+        shared parts are visited at most so many times."""
+        todo = [value]
+        while todo:
+            v = todo.pop()
+            if v.marked >= score:
+                continue
+            v.marked = score
+            spans = v.parts
+            if not isinstance(v.parts[0], int):
+                spans = v.parts[0]
+                todo += v.parts[1]
+            self.spans.extend(spans)
+            self.scores.extend([score] * (len(spans) // 2))
+
+    def best(self) -> Iterator[tuple[int, int, float]]:
+        """(start, end, best score) of every place, in order."""
+        spans, scores = np.array(self.spans, np.int64).reshape(-1, 2), np.array(self.scores)
+        order = np.lexsort((-scores, spans[:, 1], spans[:, 0]))
+        spans, scores = spans[order], scores[order]
+        first = np.ones(len(spans), bool)
+        first[1:] = (spans[1:] != spans[:-1]).any(axis=1)
+        for k in np.flatnonzero(first):
+            yield int(spans[k, 0]), int(spans[k, 1]), float(scores[k])
+
+
+def lexed_spans(text: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, score) of the literals that reach a sensitive name, in order. Time and memory grow with the text's length only."""
     known: dict[str, Value] = {}
-    found: dict[tuple[int, int], float] = {}
+    found = Found()
 
-    def assign(name: str, value: Value, more: Value | None) -> None:
-        value = value if more is None else joined_value(value, more)
-        known[name] = value
+    def assign(name: str, value: Value, more: Value | None, to: dict[str, Value]) -> None:
+        value = value if more is None or not more.n else Joint().add(value).add(more).value()
+        to.setdefault(name, value)
         weight = sensitivity(name)
         if weight:
             score = weight * value.strength()
             if score >= LEXED_SCORE:
-                mark_places(value, max(LEXED_SCORE, math.floor(score * 64) / 64), found)
+                found.mark(value, max(LEXED_SCORE, math.floor(score * 64) / 64))
+
+    def assign_one(name: str, value: Value, more: Value | None) -> None:
+        known.pop(name, None)
+        assign(name, value, more, known)
 
-    def assign_run(names: list[str], starts: list[int], end: int) -> None:
-        """Literals of one run: only the last of them can be a name."""
+    def assign_run(names: array, starts: array, end: int) -> None:
+        """Literals of one run, from the right; of a name that stands twice the last counts, and only the last literal can be a name."""
+        more, fresh = chain(text, end, known), {}
         values = run_values(text, starts, end)
-        more = chain(text, end, known)
-        for name, value in zip(names[:-1], values[:-1], strict=True):
-            assign(name, value, more)
-        assign(names[-1], known.get(text[starts[-1] : end]) or values[-1], more)
+        own = next(values)
+        for k, value in zip(range(len(starts) - 2, -1, -1), values, strict=True):
+            assign(text[names[2 * k] : names[2 * k + 1]], value, more, fresh)
+        known.update(fresh)
+        assign_one(text[names[-2] : names[-1]], known.get(text[starts[-1] : end]) or own, more)
 
-    names: list[str] = []
-    starts: list[int] = []
+    names, starts = array("q"), array("q")
     run_end = 0
     for mark in MARKS.finditer(text):
         at = mark.end()
         if names and at >= run_end:
             assign_run(names, starts, run_end)
-            names, starts = [], []
-        name = name_before(text, mark.start())
-        if not name or name[0].isdigit():
+            names, starts = array("q"), array("q")
+        a, b = name_before(text, mark.start())
+        if a == b or text[a].isdigit():
             continue
         quoted = QUOTED.match(text, at)
         if quoted:
-            assign(name, literal(text, *quoted.span(quoted.lastindex)), chain(text, quoted.end(), known))
+            assign_one(text[a:b], literal(text, *quoted.span(quoted.lastindex)), chain(text, quoted.end(), known))
             continue
         if at >= run_end:
             bare = BARE.match(text, at)
             if not bare:
                 continue
             run_end = bare.end()
-        names.append(name)
+        names.extend((a, b))
         starts.append(at)
     if names:
         assign_run(names, starts, run_end)
-    return [(a, b, s) for (a, b), s in found.items()]
+    return found.best()
 
 
 def scan_text(text: str | None) -> list[tuple[int, int, int, float]]:

@@ -16,7 +16,8 @@ from statuta.llm import ann, jaccard, lm, packing, pieces, secrets, sharding, to
 
 @pytest.mark.parametrize(
     "text",
-    ['a = "q8Zk!x92"\n' + "a = a + a\n" * 60 + "password = a\n", "=".join(f"k{i}" for i in range(60_000)), "name" + ":" * 500_000 + "x", "password=" * 50_000, 'secret = "ab"\n' + 'secret = secret + "a"\n' * 20_000],
+    ['a = "q8Zk!x92"\n' + "a = a + a\n" * 60 + "password = a\n", "=".join(f"k{i}" for i in range(60_000)), "name" + ":" * 500_000 + "x", "password=" * 50_000, 'secret = "ab"\n' + 'secret = secret + "a"\n' * 20_000,
+     "a=" + '"x"+' * 250_000, "db_pwd=" + '"x"+' * 250_000, "password=" + '"9Z"+' * 200_000, "=k" * 400_000, "=".join(f"k{i}" for i in range(145_000))],
 )
 def test_secret_lexer_grows_with_the_text_only(text):
     start = time.time()
