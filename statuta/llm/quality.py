@@ -3,6 +3,9 @@
 A rule is a row of a threshold table: (name, measure, lowest, highest). All measures are built-in
 expressions over one row, so the job is a scan and a projection: no shuffle, no Python on the executors.
 
+The rule on stop words judges only texts of a language whose words are listed: by the lang column where there is one with a value, else by the
+bytes of a character, since the listed languages are written in Latin letters.
+
 Defined results: a null or blank text has zero counts, fails the base rule (fewer than 20 words) and is
 not kept. Repeated rows and extra columns do not matter; each input row gives one output row.
 """
@@ -30,6 +33,11 @@ STOP_WORDS = (
 ).split()
 
 
+#: The languages of STOP_WORDS, and how many bytes a character of a text in Latin letters has at most.
+LISTED = ("en", "de", "fr", "es")
+LATIN_BYTES = 1.5
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -62,9 +70,11 @@ def covered(positions: Column, width: int) -> Column:
     return F.coalesce(gaps["n"], F.lit(0))
 
 
-def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Counts of each row. n_repeat_words covers every 8-word window that is found twice or more."""
-    base = pick(docs, doc_id=doc_id, text=text)
+    base = pick(docs, doc_id=doc_id, text=text, **({"lang": lang} if lang in docs.columns else {}))
+    latin = F.octet_length(F.coalesce("text", F.lit(""))) <= LATIN_BYTES * F.length(F.coalesce("text", F.lit("")))
+    base = base.withColumn("listed", F.coalesce(F.lower(F.col("lang").cast("string")).isin(*LISTED), latin) if "lang" in base.columns else latin)
     base = base.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("words", words_of(F.col("text")))
     w, n = F.col("words"), F.size("words")
     windows = F.when(
@@ -75,6 +85,7 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     lines = F.filter(F.split("text", "\n"), lambda line: F.translate(line, BLANKS, "") != "")
     base = base.select(
         "doc_id",
+        "listed",
         "words",
         "windows",
         n.cast("long").alias("n_words"),
@@ -98,6 +109,7 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     stop = F.array(*[F.lit(x) for x in dict.fromkeys(STOP_WORDS)])
     # inline() keeps a later filter on the counts from being pushed below, where it would compute them again.
     counts = F.struct(
+        "listed",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -133,21 +145,23 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
             outside = outside | (value < rule.lowest)
         if rule.highest is not None:
             outside = outside | (value > rule.highest)
+        if rule.measure == "stop_ratio":
+            outside = outside & F.col("listed")
         tests.append(F.when(outside, F.lit(rule.name)))
     return F.coalesce(*tests)
 
 
-def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: counts, base_failed, kept, and the rule that rejected it (null if kept)."""
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = measures(docs, doc_id, text).withColumn("base_failed", base_failed).withColumn("rejected_by", verdict(rules))
-    return rows.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+    rows = measures(docs, doc_id, text, lang).withColumn("base_failed", base_failed).withColumn("rejected_by", verdict(rules))
+    return rows.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("listed")
 
 
-def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep, unchanged; one scan, whatever the other columns are called."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    return quality(rows, rules, "row", "text").filter("kept").select("doc_id.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"), *([F.col(f"`{lang}`").alias("lang")] if lang in docs.columns else []))
+    return quality(rows, rules, "row", "text", "lang").filter("kept").select("doc_id.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Operator 5: URL filters as a temporal list join.
 
-A list is a table of dated entries (kind, pattern, action, listed_on): kind is 'host' (the host and its
-subdomains) or 'path' (host and path prefix); action 'block', 'allow' or 'drop' (the entry leaves the list).
+A list is a table of dated entries (pattern, action, listed_on): a pattern is a host (the host and its subdomains) or a host and a path
+prefix; action is 'block', 'allow' or 'drop' (the entry leaves the list). Patterns are compared as captures are: scheme, user, port and query do not matter,
+hosts are in lower case without final dots, paths end in '/'. `rejected_entries` names the entries that can match nothing.
 Entries of one pattern become validity intervals [listed_on, next listed_on). Every capture gives its candidate
 patterns (host suffixes, host and path prefixes), and an as-of join finds those active at its fetch time.
 The longest active pattern decides: 'block' rejects, 'allow' keeps; no active entry keeps.
@@ -28,9 +29,24 @@ BROADCAST_ENTRIES = 200_000
 SALTS = 16
 
 
+def entry_pattern(pattern: Column) -> Column:
+    """An entry's pattern in the form of a capture's candidates; null without a host."""
+    plain = F.regexp_replace(F.trim(pattern), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//|^(?:\*\.)+", "")
+    url = F.concat(F.lit("x://"), F.regexp_replace(plain, r"^\*?\.+", ""))
+    steps = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
+    return F.concat(host_of(url), F.lit("/"), F.array_join(F.transform(steps, lambda p: F.concat(p, F.lit("/"))), ""))
+
+
+def rejected_entries(entries: DataFrame) -> DataFrame:
+    """entries that have no effect, with the reason: no host, no date or an unknown action."""
+    reason = F.when(entry_pattern(F.col("pattern")).isNull(), "no host").when(F.col("listed_on").isNull(), "no date").when(~F.coalesce(F.col("action"), F.lit("")).isin("block", "allow", "drop"), "unknown action")
+    return entries.withColumn("reason", reason).filter("reason is not null")
+
+
 def intervals(entries: DataFrame) -> DataFrame:
-    """Validity intervals (pattern, action, valid_from, valid_to) of dated entries; kinds share one pattern space."""
-    rows = pick(entries, pattern="pattern", action="action", listed_on="listed_on").filter("pattern is not null and listed_on is not null")
+    """Validity intervals (pattern, action, valid_from, valid_to) of dated entries; hosts and paths share one pattern space."""
+    rows = pick(entries, pattern="pattern", action="action", listed_on="listed_on").withColumn("pattern", entry_pattern(F.col("pattern")))
+    rows = rows.filter("pattern is not null and listed_on is not null and action in ('block', 'allow', 'drop')")
     rank = F.when(F.col("action") == "block", 0).when(F.col("action") == "allow", 1).otherwise(2)
     first = rows.groupBy("pattern", "listed_on").agg(F.min_by("action", rank).alias("action"))
     spans = first.withColumn("valid_to", F.lead("listed_on").over(Window.partitionBy("pattern").orderBy("listed_on")))
