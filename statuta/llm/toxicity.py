@@ -127,14 +127,34 @@ def entries(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in BEGINNINGS if len(word) > k]]
 
 
-def number_forms(lexicon: set[str]) -> re.Pattern[str]:
-    """How a number begins that may stand for a lexicon entry: for each letter one digit or more that imitates it. No other number can give an entry."""
+def folding() -> dict[int, str]:
+    """One sign for all that may be taken for one another: of letters and digits their least letter, of signs that imitate letters that letter in upper case, since they
+    may also be dropped, of separators a dash."""
+    like = {c: {c} for c in "".join(LOOKALIKES) + "".join(LOOKALIKES.values())}
+    for sign, letters in LOOKALIKES.items():
+        for c in letters:
+            like[sign] = like[c] = like[sign] | like[c]
+            for other in like[sign]:
+                like[other] = like[sign]
+    least = {c: min(x for x in group if x.isalpha()) for c, group in like.items() if any(map(str.isalpha, group))}
+    return {ord(c): r if c.isalnum() else r.upper() for c, r in least.items()} | {ord(c): "-" for c in SEPARATORS}
+
+
+FOLDING = folding()
+
+
+def folded(token: str) -> str:
+    return RUNS.sub(r"\1", re.sub(r"[^\w-]", "", token.translate(FOLDING)))
+
+
+def lexicon_forms(lexicon: set[str]) -> re.Pattern[str]:
+    """What the folded form of a token has, at the beginning of a word, if any reading of the token gives a lexicon entry."""
     forms = set()
     for entry in lexicon:
-        digits = ["".join(d for d, letters in LOOKALIKES.items() if d.isdigit() and (c in letters or c == d)) for c in entry.rstrip("*")]
-        if all(digits):
-            forms.add("".join(f"[{d}]+" for d in digits))
-    return re.compile("|".join(sorted(forms)) or "(?!)")
+        letters = re.sub("[A-Z-]", "", folded(entry.rstrip("*")))
+        form = "".join(f"[{c}{c.upper() if c.isascii() else ''}][A-Z{c}-]*" for c in letters)
+        forms.add(form if entry.endswith("*") else form + "(?:-|$)")
+    return re.compile(f"(?:^|-)[A-Z]*(?:{'|'.join(sorted(forms))})" if forms else "(?!)")
 
 
 class Restorer:
@@ -144,17 +164,18 @@ class Restorer:
 
     def __init__(self, model: CharModel, lexicon: set[str] | None = None):
         self.model, self.lexicon, self.known = model, lexicon, {}
-        self.numbers = None if lexicon is None else number_forms(lexicon)
-        self.longest = 2 * max(map(len, lexicon or ("",)))
+        self.forms = None if lexicon is None else lexicon_forms(lexicon)
 
-    def idle_number(self, token: str) -> bool:
-        """A number whose letters are no entry's, so that it need not be decoded. Long runs of a digit are two at the most there."""
-        return self.numbers is not None and token.isdigit() and not self.numbers.match(RUNS.sub(r"\1\1", token)[: self.longest])
+    def decoded(self, token: str) -> tuple[str, ...]:
+        """The likeliest words of a disguised token; none where no reading of it can give an entry, which its folded form tells."""
+        if self.forms is not None and (len(token) <= 64 or token.isalnum()) and not self.forms.search(folded(token)):
+            return ()
+        return tuple(viterbi(token, self.model))
 
     def token(self, token: str) -> tuple[str, ...]:
         core = EDGES.sub("", token)
         if len(token) > 2 and "*" not in token and token.strip("".join(LOOKALIKES)) == "":
-            return tuple(viterbi(token, self.model))  # digits and signs alone, each of which imitates a letter
+            return self.decoded(token)  # digits and signs alone, each of which imitates a letter
         if not core or core.isdigit():
             return ()
         if core.isalpha() and core == token and not REPEATED.search(core):
@@ -162,7 +183,7 @@ class Restorer:
         odd = token if any(c in "@$!|+(<€£¢§" for c in token) else core
         plain = tuple(WORDS.findall(core)) if not core.isalpha() else (core,)
         if REPEATED.search(core) or DISGUISE.search(odd):
-            return plain + tuple(viterbi(core, self.model)) + (tuple(viterbi(odd, self.model)) if odd != core else ())
+            return plain + self.decoded(core) + (self.decoded(odd) if odd != core else ())
         return plain
 
     def told(self, words: tuple[str, ...] | list[str]) -> tuple[str, ...]:
@@ -174,8 +195,6 @@ class Restorer:
         found: set[str] = set()
         known = self.known
         for t in set(text.split()):
-            if self.idle_number(t):
-                continue
             own = known.get(t)
             if own is None:
                 own = self.told(self.token(t))
@@ -186,7 +205,7 @@ class Restorer:
             if own:
                 found.update(own)
         for m in SPACED.finditer(text):
-            found.update(self.told(viterbi(m[0], self.model)))
+            found.update(self.told(self.decoded(m[0])))
         return found
 
 
