@@ -175,22 +175,30 @@ def first_of_each(edges: list[DataFrame], edge_id: str, order: str) -> DataFrame
     return union.withColumn("place", F.row_number().over(Window.partitionBy(edge_id).orderBy(order))).filter("place = 1").drop("place")
 
 
-def lineage(documents: DataFrame, supersedes: DataFrame, key: str) -> DataFrame:
-    """(key, anchor): documents that supersede one another in a chain share the least of their keys.
-
-    supersedes: (newer, older). Only one-to-one edges count. Components by repeated least labels: a round joins every label with those
+def components(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """(node, anchor): the least node that links (a, b) reach, whatever their direction. By repeated least labels: a round joins every label with those
     of its neighbours and of its own label, so rounds grow with the logarithm of the longest chain."""
-    once = lambda c: supersedes.groupBy(c).agg(F.count("*").alias("k")).filter("k = 1").select(c)
-    pairs = supersedes.join(once("newer"), "newer", "left_semi").join(once("older"), "older", "left_semi")
-    folder = shared_folder(documents.sparkSession)
-    both = written(pairs.select(F.col("newer").alias("a"), F.col("older").alias("b")).unionByName(pairs.select(F.col("older").alias("a"), F.col("newer").alias("b"))), folder, "pairs")
-    labels, step = written(documents.select(F.col(key).alias("a"), F.col(key).alias("anchor")), folder, "labels0"), 0
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), folder, "pairs")
+    labels, step = written(nodes.select(F.col("node").alias("a"), F.col("node").alias("anchor")), folder, "labels0"), 0
     while True:
         step += 1
         near = both.join(labels.select(F.col("a").alias("b"), "anchor"), "b").groupBy("a").agg(F.min("anchor").alias("other"))
         low = labels.join(near, "a", "left").select("a", F.col("anchor").alias("old"), F.least("anchor", F.coalesce("other", "anchor")).alias("anchor"))
+        # A label's own label may be lower by now, and who lends a label out hears of lower ones.
+        heard = low.groupBy(F.col("old").alias("a")).agg(F.min("anchor").alias("told"))
+        low = low.join(heard, "a", "left").select("a", "old", F.least("anchor", F.coalesce("told", "anchor")).alias("anchor"))
         jump = low.select(F.col("a").alias("anchor"), F.col("anchor").alias("further"))
         fresh = written(low.join(jump, "anchor", "left").select("a", "old", F.least("anchor", F.coalesce("further", "anchor")).alias("anchor")), folder, f"labels{step}")
         if fresh.filter("old <> anchor").isEmpty():
-            return fresh.select(F.col("a").alias(key), "anchor")
+            return fresh.select(F.col("a").alias("node"), "anchor")
         labels = fresh.select("a", "anchor")
+
+
+def lineage(documents: DataFrame, supersedes: DataFrame, key: str) -> DataFrame:
+    """(key, anchor): documents that supersede one another in a chain share the least of their keys.
+
+    supersedes: (newer, older). Only one-to-one edges count."""
+    once = lambda c: supersedes.groupBy(c).agg(F.count("*").alias("k")).filter("k = 1").select(c)
+    pairs = supersedes.join(once("newer"), "newer", "left_semi").join(once("older"), "older", "left_semi")
+    found = components(documents.select(F.col(key).alias("node")), pairs.select(F.col("newer").alias("a"), F.col("older").alias("b")), shared_folder(documents.sparkSession))
+    return found.withColumnRenamed("node", key)
