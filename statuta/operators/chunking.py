@@ -6,6 +6,8 @@ Nodes come from structure.nodes_of: key, node, node_type, level, number, title,
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,20 +31,27 @@ def hard_windows(text: str, most: int, overlap: int) -> list[str]:
     return [w for a, b in char_windows(text, most, overlap) if (w := text[a:b].strip())]
 
 
+def packed(sentences: list[str], most: int, overlap: int) -> list[str]:
+    """Windows of whole sentences. With the running length of all sentences, where a window ends is looked up instead of tried sentence by sentence; each
+    window leads with the last `overlap` characters of the one before and holds one sentence at least."""
+    reach = list(accumulate(len(s) + 1 for s in sentences))
+    windows, start = [], 0
+    while start < len(sentences):
+        lead = windows[-1][-overlap:].strip() if windows and overlap else ""
+        room = most - len(lead) - bool(lead) + 1
+        stop = max(start + 1, bisect_right(reach, room + (reach[start - 1] if start else 0)))
+        windows.append(" ".join(filter(None, [lead, *sentences[start:stop]])))
+        start = stop
+    return windows
+
+
 def sentence_windows(text: str, most: int, overlap: int) -> list[str]:
-    """Sentences put together up to `most` characters; each window begins with the last `overlap` characters of the one before."""
-    windows, held = [], ""
-    for sentence in filter(None, map(str.strip, SENTENCES.split(text))):
-        if len(sentence) > most:
-            windows += ([held] if held else []) + hard_windows(sentence, most, overlap)
-            held = ""
-        elif held and len(held) + 1 + len(sentence) > most:
-            windows.append(held)
-            tail = held[-overlap:].strip() if overlap else ""
-            held = f"{tail} {sentence}" if tail else sentence
-        else:
-            held = f"{held} {sentence}" if held else sentence
-    return [*windows, held] if held else windows
+    """Sentences put together up to `most` characters with `overlap` characters of the window before; a sentence that is longer is cut hard, by itself."""
+    sentences = filter(None, map(str.strip, SENTENCES.split(text)))
+    windows = []
+    for long, stretch in groupby(sentences, lambda s: len(s) > most):
+        windows += [w for s in stretch for w in hard_windows(s, most, overlap)] if long else packed(list(stretch), most, overlap)
+    return windows
 
 
 def parts_of(text: str, most: int = MOST, overlap: int = OVERLAP) -> list[str]:
