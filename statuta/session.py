@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -41,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     under the warehouse, which its executors share.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and spark.sparkContext.master.startswith("local"):
+    if not base and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         base = tempfile.mkdtemp(prefix="spark-statuta-", dir="/tmp")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     base = base or spark.conf.get("spark.sql.warehouse.dir")
