@@ -95,6 +95,65 @@ def parse_file(path: str, data: bytes) -> list[tuple]:
         return [(None, None, f"{type(error).__name__}: {error}")]
 
 
+def table_parts(data: bytes) -> Iterator[tuple]:
+    """(kind, table_id, row, col, row_span, col_span, text) of an HWPX file: cells with the places and spans they are given, captions of tables, foot and end notes (with the table
+    they stand in, if any). A table within a cell is a table of its own and no part of the cell's text."""
+    archive = guarded(data)
+    count = 0
+
+    def own_text(node: ElementTree.Element) -> str:
+        lines = []
+        for child in node:
+            name = local(child.tag)
+            if name == "t":
+                lines.append("".join(child.itertext()))
+            elif name not in ("tbl", "footNote", "endNote", "caption"):
+                inner = own_text(child)
+                lines.append(inner + ("\n" if name == "p" else ""))
+        return "".join(lines)
+
+    def number(node: ElementTree.Element | None, name: str) -> int | None:
+        value = None if node is None else node.get(name)
+        return int(value) if value and value.lstrip("-").isdigit() else None
+
+    def walk(node: ElementTree.Element, inside: int | None) -> Iterator[tuple]:
+        nonlocal count
+        for child in node:
+            name, owner = local(child.tag), inside
+            if name == "tbl":
+                owner, count = count, count + 1
+                for row, line in enumerate(x for x in child if local(x.tag) == "tr"):
+                    for cell in (x for x in line if local(x.tag) == "tc"):
+                        at, span = (next((x for x in cell if local(x.tag) == n), None) for n in ("cellAddr", "cellSpan"))
+                        placed = number(at, "rowAddr")
+                        yield "cell", owner, row if placed is None else placed, number(at, "colAddr"), number(span, "rowSpan") or 1, number(span, "colSpan") or 1, own_text(cell).strip()
+            elif name in ("caption", "footNote", "endNote"):
+                yield "caption" if name == "caption" else "note", inside, None, None, None, None, own_text(child).strip()
+            yield from walk(child, owner)
+
+    for name in sorted(n for n in archive.namelist() if re.fullmatch(r"Contents/section\d+\.xml", n)):
+        yield from walk(parsed_xml(archive.read(name)), None)
+
+
+PART = [("kind", T.StringType()), ("table_id", T.LongType()), *[(n, T.IntegerType()) for n in ("row", "col", "row_span", "col_span")], ("text", T.StringType()), ("error", T.StringType())]
+
+
+@F.udf(T.ArrayType(T.StructType([T.StructField(n, k) for n, k in PART])), useArrow=False)
+def parse_tables(data: bytes) -> list[tuple]:
+    try:
+        return [(*part, None) for part in table_parts(bytes(data))]
+    except Exception as error:  # noqa: BLE001  one bad file is a row, not a failed job
+        return [(None,) * 7 + (f"{type(error).__name__}: {error}",)]
+
+
+def read_tables(spark: SparkSession, folder: str, pattern: str = "*.hwpx", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(document_id, place, kind, table_id, row, col, row_span, col_span, text, error) of the HWPX files below a folder, in the shape that `operators.grids` takes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    small = files.filter(F.col("length") <= most_bytes).select(F.col("path").alias("document_id"), F.posexplode(parse_tables("content")).alias("place", "p")).select("document_id", "place", "p.*")
+    none = [F.lit(None).cast(k).alias(n) for n, k in PART[:-1]]
+    return small.unionByName(files.filter(F.col("length") > most_bytes).select(F.col("path").alias("document_id"), F.lit(0).alias("place"), *none, F.lit("file too large").alias("error")))
+
+
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*", most_bytes: int = MOST_BYTES) -> DataFrame:
     """(path, block_index, block_type, text, error) of every file below a folder. Files over `most_bytes` are not loaded: they give an error row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
