@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from statuta.operators import governance as g
 from statuta.plans.fixtures import both
-from statuta.session import table
+from statuta.session import shared_folder, table
+from statuta.streaming import journal as state
 
 chunk_rows, CHUNKS = both(
     """SELECT concat('d', CAST(o_custkey % 200 AS STRING)) AS document_id, concat('c', CAST(o_orderkey AS STRING)) AS chunk_id, o_orderkey AS k,
@@ -88,6 +89,20 @@ e AS (SELECT CASE WHEN k % 47 = 0 THEN 'not in repository' WHEN k % 8 <= 2 OR (k
 SELECT error, count(*) AS n FROM e WHERE error IS NOT NULL GROUP BY error UNION ALL SELECT 'approved', count(*) FROM held"""
 
 
+def journal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that `journal_gate` holds approved, from the stream: the journal is read in two batches, by hashes, so that a chunk's events come in both."""
+    folder = shared_folder(spark)
+    events = journal_rows(spark, sf_dir).withColumnRenamed("happened", "at").select(*state.FIELDS)
+    events.repartition(2, F.xxhash64(*state.FIELDS)).write.parquet(f"{folder}/journal")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/journal")
+    state.write_changes(stream, f"{folder}/changes", f"{folder}/checkpoint")
+    held = state.approvals(spark.read.schema(state.CHANGE).option("recursiveFileLookup", "true").parquet(f"{folder}/changes"))
+    return chunk_rows(spark, sf_dir).filter("lower(trim(approval_status)) = 'approved'").join(held, list(g.MATCH_KEY), "left_semi").select("chunk_id")
+
+
+STATE_SQL = JOURNAL_SQL[: JOURNAL_SQL.rindex(",\ne AS")] + "\nSELECT chunk_id FROM held"
+
+
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunk_rows(spark, sf_dir).select("chunk_id", "text", F.struct("hierarchy_path", F.struct("text").alias("inner")).alias("nested"))
     return g.path_leaks(rows, "chunk_id").select("chunk_id", "field")
@@ -186,6 +201,7 @@ QUERIES = {
     "review_attention": (review_attention, REVIEW_SQL),
     "approval_gate": (approval_gate, APPROVAL_SQL),
     "journal_gate": (journal_gate, JOURNAL_SQL),
+    "journal_state": (journal_state, STATE_SQL),
     "path_leaks": (leaks, LEAKS_SQL),
     "query_policy": (query_policy, POLICY_SQL),
     "published_records": (published_records, PUBLISHED_SQL),
