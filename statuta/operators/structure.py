@@ -144,6 +144,18 @@ def classified(lines: DataFrame) -> DataFrame:
     )
 
 
+def fact(name: str, level: int, number: Column, title: Column) -> Column:
+    return F.struct(F.lit(name).alias("node_type"), F.lit(level).alias("level"), number.alias("number"), title.alias("title"))
+
+
+def classified_by(lines: DataFrame, classes: list[tuple[str, int, str]], given: Column) -> DataFrame:
+    """lines as classified() gives them, by an institution's own classes (name, level, pattern with the number and what follows it): the first that fits, without
+    the rules for references and dates. given: the fact() that a line's reader knows, else null; it stands before all classes."""
+    line = F.col("line")
+    found = [F.when(line.rlike(p), fact(n, k, F.regexp_replace(F.regexp_extract(line, p, 1), r"\s+", ""), F.trim(F.regexp_extract(line, p, 2)))) for n, k, p in classes]
+    return lines.withColumn("fact", F.coalesce(given, *found, fact("text", 9, F.lit(""), F.lit("")))).select(*lines.columns, "fact.*", F.lit("").alias("lead"))
+
+
 def demoted(lines: DataFrame, key: str) -> DataFrame:
     """Classified lines in which headings that only look like ones are text again.
 
