@@ -47,12 +47,16 @@ def transition_errors(events: DataFrame, current: str, target: str, reason: str)
 
 
 def diff(before: DataFrame, after: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, change): added, removed, changed or unchanged by the content's hash."""
-    left = before.select(key, F.sha2(F.col(content).cast("string"), 256).alias("h0"), F.lit(True).alias("in0"))
-    right = after.select(key, F.sha2(F.col(content).cast("string"), 256).alias("h1"), F.lit(True).alias("in1"))
-    both = left.join(right, key, "full_outer")
-    change = F.when(F.col("in0").isNull(), "added").when(F.col("in1").isNull(), "removed").when(F.col("h0").eqNullSafe(F.col("h1")), "unchanged").otherwise("changed")
-    return both.select(key, change.alias("change"))
+    """(key, change): added, removed, changed or unchanged by the content's hash. Rows of one key pair one to one, those of equal content first, so a key that
+    repeats has as many changes as the longer side has rows."""
+    side = lambda df, a, b: df.select(key, F.sha2(F.col(content).cast("string"), 256).alias("h"), F.lit(a).alias("n0"), F.lit(b).alias("n1"))
+    rows = side(before, 1, 0).unionByName(side(after, 0, 1)).groupBy(key, "h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    same = F.least("n0", "n1")
+    sums = rows.groupBy(key).agg(F.sum(same).alias("same"), F.sum(F.col("n0") - same).alias("old"), F.sum(F.col("n1") - same).alias("new"))
+    paired = F.least("old", "new")
+    parts = {"unchanged": F.col("same"), "changed": paired, "removed": F.col("old") - paired, "added": F.col("new") - paired}
+    changes = F.concat(*[F.array_repeat(F.lit(name), n.cast("int")) for name, n in parts.items()])
+    return sums.select(key, F.explode(changes).alias("change"))
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str, content: str, kept: str) -> DataFrame:

@@ -26,3 +26,8 @@ def test_structure_nodes_of_odd_lines(spark, tmp_path):
         "a\rb\n12.\rb\n(1)\rc\n\x0b3. x", None, "", "\n\n", "3.\n4. \n①\n㉑\n제1장 x\n[별표 1] y",
     ]
     same(spark, tmp_path, "structure_nodes", documents=(list(enumerate(texts)), DOCUMENTS))
+
+
+def test_version_diff_of_empty_texts_and_repeated_ids(spark, tmp_path):
+    rows = [(1, ""), (2, "x"), (3, None), (5, ""), (7, ""), (8, "ab"), (8, "a"), (8, "abc"), (8, "abcd"), (8, None), (10, "a"), (10, "a"), (14, "b"), (14, ""), (35, ""), (None, ""), (9, "😀"), (11, "e\u0301")]
+    same(spark, tmp_path, "version_diff", documents=(rows, DOCUMENTS))
