@@ -2,7 +2,7 @@
 
 Frames use these columns. Chunks: document_id, chunk_id, chunk_type, text, normalized_text, retrieval_text, order_index, source_page_start,
 source_page_end, source_node_ids, warnings and metadata columns. Nodes: document_id, node_id, node_type, number, title, parent_id. Every measure is one
-aggregation by document; only a document's own text is ever brought together (for the line check).
+aggregation by document; the line check brings pieces of a document's text together.
 """
 
 from __future__ import annotations
@@ -10,11 +10,15 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, fields
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.functions.text import compact
+from statuta.operators.numbering import running
 from statuta.operators.quality import score
+from statuta.session import shared_folder, written
 
 # Metadata that every chunk has; fields whose coverage is counted; table scaffold; lines shorter than this are not looked for.
 REQUIRED = ("document_name", "source_file", "hierarchy_path", "chunk_type")
@@ -25,6 +29,10 @@ COVERED = (
 )
 SCAFFOLD = r"[|+\-─-╿]+"
 SHORTEST_LINE = 12
+END_OF_LINE = r"\r\n|[\n\r]"
+#: Characters of a document's text in which lines are sought at once; any odd number of 64 bits for hashes.
+PIECE = 1 << 21
+HASH_BASE = 0x9E3779B97F4A7C15
 CONTEXT_HEADER = r"(?s)\A.*?\[본문\]\s*"
 PRIVATE_USE = r"[-]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -204,6 +212,86 @@ def text_metrics(chunks: DataFrame) -> DataFrame:
     )
 
 
+def hashed(text: str):
+    """A function of places and sizes (arrays): hashes of these stretches of a text, equal for equal stretches wherever they stand."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * np.cumprod(np.full(len(codes), HASH_BASE, np.uint64)))])
+        back = np.cumprod(np.full(len(codes), pow(HASH_BASE, -1, 1 << 64), np.uint64))
+
+    def stretch(at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (sums[at + size] - sums[at]) * back[at]
+
+    return stretch
+
+
+def held_lines(text: str, lines: list[str], least: int = SHORTEST_LINE) -> np.ndarray:
+    """Which of the lines, of `least` characters or more, occur in a text. Only places where a line's first characters stand are looked at, once for each length
+    that lines have; what has the hash of a line is compared with it."""
+    sizes = np.array([len(x) for x in lines], np.int64)
+    out = np.zeros(len(lines), bool)
+    if len(text) < least or not len(lines):
+        return out
+    of_text, of_lines = hashed(text), hashed("".join(lines))
+    starts = np.cumsum(sizes) - sizes
+    heads, wholes = of_lines(starts, least), of_lines(starts, sizes)
+    known, places = np.unique(heads), np.arange(len(text) - least + 1)
+    begun = of_text(places, least)
+    at = np.searchsorted(known, begun)
+    places = places[known[np.minimum(at, len(known) - 1)] == begun]
+    for size in np.unique(sizes):
+        fits = places[places + size <= len(text)]
+        found = of_text(fits, size)
+        order = np.argsort(found, kind="stable")
+        found, fits = found[order], fits[order]
+        own = np.flatnonzero(sizes == size)
+        for i, low, high in zip(own, np.searchsorted(found, wholes[own], "left"), np.searchsorted(found, wholes[own], "right"), strict=True):
+            out[i] = any(text.startswith(lines[i], p) for p in fits[low:high])
+    return out
+
+
+def line_metrics(chunks: DataFrame, sources: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(document_id, source_lines_checked, source_lines_missing_count). A source line is found where a chunk has it as a line; the others are sought in what the
+    chunks of the document are put one after another, with and without their context headers.
+
+    That text is cut into pieces of `piece` characters, each with as many more as the longest line sought, so neither a document's text nor its lines times its chunks meet."""
+    folder = shared_folder(chunks.sparkSession)
+    body = body_of(chunks)
+    indexed = F.coalesce(F.nullif(F.col("retrieval_text"), F.lit("")), body)
+    lines = sources.select("document_id", F.explode(F.split("source_text", END_OF_LINE)).alias("line")).groupBy("document_id", content(F.col("line")).alias("line"))
+    lines = lines.agg(F.count_if(F.length(compact(F.col("line"))) >= SHORTEST_LINE).alias("checked"), F.count("*").alias("n"))
+    lines = written(lines, folder, "lines")
+    parts = F.transform(F.split(indexed, END_OF_LINE), content)
+    read = chunks.select("document_id", "order_index", content(F.regexp_replace(body, CONTEXT_HEADER, "")).alias("bare"), parts.alias("parts"))
+    read = written(read, folder, "chunks")
+    own = read.select("document_id", F.explode("parts").alias("line"))
+    sought = lines.filter(F.length("line") >= SHORTEST_LINE).select("document_id", "line", "n")
+    sought = written(sought.join(own, ["document_id", "line"], "left_anti"), folder, "sought")
+    longest = sought.groupBy("document_id").agg(F.max(F.length("line")).alias("longest"))
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), t.alias("text")) for i, t in enumerate((F.col("bare"), F.array_join("parts", "")))])
+    texts = read.join(longest.select("document_id"), "document_id", "left_semi").select("document_id", "order_index", F.inline(sides)).filter("text <> ''")
+    texts = running(texts.withColumn("size", F.length("text").cast("long")), ["document_id", "side"], ["order_index", "text"], "size", "stop", folder)
+    texts = texts.join(longest, "document_id").withColumn("start", F.col("stop") - F.col("size"))
+    number = lambda at: F.floor(at / piece).cast("long")
+    texts = texts.withColumn("piece", F.explode(F.sequence(F.greatest(F.lit(0), number(F.col("start") - F.col("longest"))), number(F.col("stop") - 1))))
+    first, last = F.greatest("start", F.col("piece") * piece), F.least("stop", (F.col("piece") + 1) * piece + F.col("longest"))
+    cut = texts.select("document_id", "side", "piece", first.alias("at"), F.substring("text", (first - F.col("start") + 1).cast("int"), (last - first).cast("int")).alias("text")).filter("text <> ''")
+    keys = ["document_id", "side", "piece"]
+    pieces = cut.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "").alias("text"))
+    pieces = written(pieces, folder, "pieces")
+    kind = dict(chunks.dtypes)["document_id"]
+
+    def search(key: tuple, texts: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        asked = lines["line"].tolist()
+        found = [asked[i] for i in np.flatnonzero(held_lines("".join(texts["text"]), asked))]
+        return pd.DataFrame({"document_id": [key[0]] * len(found), "line": found}, dtype=object)
+
+    asked = sought.join(written(pieces.select(*keys), folder, "places"), "document_id").select(*keys, "line")
+    found = pieces.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, f"document_id {kind}, line string")
+    missing = sought.join(found, ["document_id", "line"], "left_anti").groupBy("document_id").agg(F.sum("n").alias("source_lines_missing_count"))
+    checked = lines.groupBy("document_id").agg(F.sum("checked").alias("source_lines_checked"))
+    return checked.join(missing, "document_id", "left")
 def coverage_metrics(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     """How much of a document's source text (document_id, source_text) its chunks hold: by characters, without exempt chunks, without table
     scaffold, and by lines of SHORTEST_LINE characters or more that occur in the indexed text."""
@@ -216,21 +304,11 @@ def coverage_metrics(chunks: DataFrame, sources: DataFrame) -> DataFrame:
         F.count_if(exempt).alias("source_coverage_exempt_chunk_count"),
         F.sum(F.length(content(body))).alias("content_chunk_compact_chars"),
     )
-    indexed = F.coalesce(F.nullif(F.col("retrieval_text"), F.lit("")), body)
-    parts = F.array_sort(F.collect_list(F.struct("order_index", content(F.regexp_replace(body, CONTEXT_HEADER, "")).alias("bare"), content(indexed).alias("whole"))))
-    hay = chunks.groupBy("document_id").agg(parts.alias("parts"))
-    joined = lambda name: F.array_join(F.transform("parts", lambda p: p[name]), "")
-    hay = hay.select("document_id", F.concat_ws("\n", joined("bare"), joined("whole")).alias("hay"))
-    lines = sources.join(hay, "document_id", "left").select("document_id", "hay", F.split("source_text", r"\r\n|[\n\r]").alias("lines"))
-    long = F.filter("lines", lambda x: F.length(compact(x)) >= SHORTEST_LINE)
-    gone = F.filter(
-        F.transform("lines", lambda x: content(x)), lambda x: (F.length(x) >= SHORTEST_LINE) & ~F.coalesce(F.col("hay").contains(x), F.lit(False))
-    )
-    by_line = lines.select("document_id", F.size(long).cast("long").alias("source_lines_checked"), F.size(gone).cast("long").alias("source_lines_missing_count"))
+    by_line = line_metrics(chunks, sources)
     size_of = sources.select(
         "document_id", F.length(compact(F.col("source_text"))).cast("long").alias("source_compact_chars"), F.length(content(F.col("source_text"))).cast("long").alias("content_source_compact_chars")
     )
-    rows = size_of.join(by_line, "document_id").join(found, "document_id", "left").fillna(0)
+    rows = size_of.join(by_line, "document_id", "left").join(found, "document_id", "left").fillna(0)
     ratio = lambda a, b, none: F.coalesce(F.round(F.try_divide(F.col(a), F.col(b)), 3), F.lit(none))
     return rows.select(
         "*",
