@@ -4,6 +4,8 @@ The splitters of single institutions' layouts are not rebuilt; a row of an unkno
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,25 +131,36 @@ def citation_label(number: Column, title: Column) -> Column:
     return F.nullif(F.trim(F.concat_ws(" ", number, title)), F.lit(""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once; inside a lambda it would be made for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def match_terms(text: Column) -> Column:
     """Words of two letters or more and, of six signs or more in all, every run of three."""
+    runs = lambda bare: F.when(F.length(bare) >= 6, F.transform(F.sequence(F.lit(1), F.length(bare) - 2), lambda i: F.substring(bare, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    words = lambda low: F.concat(F.regexp_extract_all(low, F.lit("[0-9a-z가-힣]+"), 0), bound(F.regexp_replace(low, "[^0-9a-z가-힣]+", ""), runs))
     low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
-    bare = F.regexp_replace(low, "[^0-9a-z가-힣]+", "")
-    runs = F.when(F.length(bare) >= 6, F.transform(F.sequence(F.lit(1), F.length(bare) - 2), lambda i: F.substring(bare, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.filter(F.concat(F.regexp_extract_all(low, F.lit("[0-9a-z가-힣]+"), 0), runs), lambda t: F.length(t) >= 2))
+    return F.array_distinct(F.filter(bound(low, words), lambda t: F.length(t) >= 2))
 
 
-def match_score(a: Column, b: Column, same_page: Column) -> Column:
-    """0 to 100: cosine of the terms, up to .2 for shared numbers and .1 for the page."""
-    x, y = match_terms(a), match_terms(b)
-    numbers = lambda t: F.array_distinct(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"\d+(?:\.\d+)?"), 0))
-    p, q = numbers(a), numbers(b)
+def match_numbers(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\d+(?:\.\d+)?"), 0))
+
+
+def term_score(x: Column, y: Column, p: Column, q: Column, same_page: Column) -> Column:
+    """0 to 100, of the terms and numbers of two texts: cosine of the terms, up to .2 for shared numbers and .1 for the page."""
     cosine = F.size(F.array_intersect(x, y)) / F.sqrt(F.size(x) * F.size(y))
     bonus = F.when((F.size(p) > 0) & (F.size(q) > 0), F.least(F.lit(0.2), F.size(F.array_intersect(p, q)) / F.greatest(F.size(p), F.size(q)))).otherwise(0.0)
     page = F.when(F.coalesce(same_page, F.lit(False)), 0.1).otherwise(0.0)
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.round(F.least(F.lit(1.0), cosine + bonus + page) * 100, 2)).otherwise(0.0)
 
 
+def match_score(a: Column, b: Column, same_page: Column) -> Column:
+    """The score of two texts."""
+    return term_score(match_terms(a), match_terms(b), match_numbers(a), match_numbers(b), same_page)
+
+
 def triaged(tables: DataFrame) -> DataFrame:
     """Sidecar tables (cells: array of rows of cells) with sample and label: contents, a weak signal, prose, structured, possible, attachment or to be reviewed."""
     rows = F.filter("cells", lambda r: F.array_join(r, "") != "")
@@ -171,14 +184,30 @@ def triaged(tables: DataFrame) -> DataFrame:
     return out.withColumn("label", label)
 
 
-def best_tables(chunks: DataFrame, tables: DataFrame, scope: str) -> DataFrame:
-    """(chunk_id, table_id, score, match): the sidecar table of the same document that is most like each chunk. Chunks and tables of one document meet only on
-    a shared term, so a document's pairs are not all made; chunks: chunk_id, text, page; tables: table_id, sample, label, page."""
-    c = chunks.select(scope, "chunk_id", F.explode(match_terms(F.col("text"))).alias("term"))
-    t = tables.select(scope, "table_id", F.explode(match_terms(F.col("sample"))).alias("term"))
-    pairs = c.join(t, [scope, "term"]).select(scope, "chunk_id", "table_id").distinct()
-    both = pairs.join(chunks.select(scope, "chunk_id", F.col("text").alias("a"), F.col("page").alias("pa")), [scope, "chunk_id"]).join(tables.select(scope, "table_id", F.col("sample").alias("b"), F.col("page").alias("pb"), "label"), [scope, "table_id"])
-    scored = both.select(scope, "chunk_id", "table_id", "label", match_score(F.col("a"), F.col("b"), F.col("pa") == F.col("pb")).alias("score"))
+def best_tables(chunks: DataFrame, tables: DataFrame, scope: str, most: int = 64) -> DataFrame:
+    """(chunk_id, table_id, score, match): the sidecar table of the same document that is most like each chunk, of those that share a term with it; chunks:
+    chunk_id, text, page; tables: table_id, sample, label, page.
+
+    In a document of few pairs, `most` for each chunk and table or fewer, all meet; in others chunks and tables meet on a shared term, so their pairs are not all made.
+    All joins are by shuffle: what a small file explodes into is not small."""
+    of_chunk = [match_terms(F.col("text")).alias("x"), match_numbers(F.col("text")).alias("p")]
+    of_table = [match_terms(F.col("sample")).alias("y"), match_numbers(F.col("sample")).alias("q")]
+    count = lambda df, n: df.groupBy(scope).agg(F.count("*").alias(n))
+    sizes = count(chunks, "n_c").join(count(tables, "n_t").hint("merge"), scope)
+    few = F.col("n_c") * F.col("n_t") <= (F.col("n_c") + F.col("n_t")) * most
+
+    def sides(test: Column) -> tuple[DataFrame, DataFrame]:
+        """Terms of the chunks and tables of these documents, made where a document's rows already are together."""
+        own = sizes.filter(test).select(scope).hint("merge")
+        return chunks.join(own, scope).select(scope, "chunk_id", F.col("page").alias("pa"), *of_chunk), tables.join(own, scope).select(scope, "table_id", "label", F.col("page").alias("pb"), *of_table)
+
+    c, t = sides(few)
+    met = c.join(t.hint("merge"), scope).filter(F.arrays_overlap("x", "y"))
+    c, t = sides(~few)
+    pairs = c.select(scope, "chunk_id", F.explode("x").alias("term")).join(t.select(scope, "table_id", F.explode("y").alias("term")).hint("merge"), [scope, "term"])
+    pairs = pairs.select(scope, "chunk_id", "table_id").distinct()
+    met = met.unionByName(pairs.join(c.hint("merge"), [scope, "chunk_id"]).join(t.hint("merge"), [scope, "table_id"]))
+    scored = met.select(scope, "chunk_id", "table_id", "label", term_score(F.col("x"), F.col("y"), F.col("p"), F.col("q"), F.col("pa") == F.col("pb")).alias("score"))
     best = scored.groupBy(scope, "chunk_id").agg(F.max(F.struct("score", F.struct("table_id", "label"))).alias("b"))
     match = F.when((F.col("score") >= 45) & (F.col("label") == "structured_table_candidate"), "strong_review_match").when(F.col("score") >= 30, "medium_review_match").when(F.col("score") >= 18, "weak_review_match").otherwise("no_confident_match")
     return best.select(scope, "chunk_id", F.col("b.col2.table_id").alias("table_id"), F.col("b.score").alias("score"), F.col("b.col2.label").alias("label")).withColumn("match", match)
