@@ -73,52 +73,67 @@ def components_of(arcs: list[tuple]) -> list[tuple]:
     return out
 
 
+def walked(arcs: DataFrame) -> DataFrame:
+    """(scope, node, cycle_id, size) of arcs (scope, u, v), one group a scope."""
+    kinds = dict(arcs.dtypes)
+
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = components_of(list(zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True)))
+        return pd.DataFrame([(key[0], *f) for f in found], columns=["scope", "node", "cycle_id", "size"])
+
+    return arcs.groupBy("scope").applyInPandas(walk, f"scope {kinds['scope']}, node {kinds['u']}, cycle_id {kinds['u']}, size long")
+
+
 def cycles(edges: DataFrame, source: str, target: str, scope: str | None = None, most: int = MOST_ARCS) -> DataFrame:
     """(scope,) node, cycle_id, size: strongly connected components of two nodes or more, and self loops. cycle_id: the least node.
 
-    Arcs of a scope (an institution's units, thousands) are one group, walked in linear time; a scope with more than `most` arcs is coloured instead: labels
-    spread forward and back in rounds that are written, so no graph meets in one task."""
+    Arcs of a scope (an institution's units, thousands) are one group, walked in linear time; a scope with more than `most` arcs loses those that lead nowhere and
+    is coloured if it still has more: labels spread forward and back in rounds that are written, so no larger graph meets in one task."""
     kind = dict(edges.dtypes)[source]
     rows = edges.select((F.col(scope) if scope else F.lit(0)).alias("scope"), F.col(source).alias("u"), F.col(target).alias("v")).distinct()
     sizes = rows.groupBy("scope").agg(F.count("*").alias("arcs"))
     large = sizes.filter(F.col("arcs") > most).select("scope")
 
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = components_of(list(zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True)))
-        return pd.DataFrame([(key[0], *f) for f in found], columns=["scope", "node", "cycle_id", "size"])
-
-    scope_kind = dict(rows.dtypes)["scope"]
-    out = rows.join(large, "scope", "left_anti").groupBy("scope").applyInPandas(walk, f"scope {scope_kind}, node {kind}, cycle_id {kind}, size long")
+    out = walked(rows.join(large, "scope", "left_anti"))
     if not large.isEmpty():
-        out = out.unionByName(coloured(rows.join(large, "scope", "left_semi")))
+        out = out.unionByName(coloured(rows.join(large, "scope", "left_semi"), most))
     return out.withColumnRenamed("scope", scope) if scope else out.drop("scope")
 
 
-def trimmed(arcs: DataFrame, folder: str, turn: int) -> DataFrame:
-    """arcs without those to or from a node that no arc enters or leaves, again and again: such nodes are in no cycle."""
-    n, step = arcs.count(), 0
-    while n:
+def trimmed(arcs: DataFrame, folder: str, turn: int, most: int) -> tuple[DataFrame, int]:
+    """arcs without those to or from a node that no arc enters or leaves, again and again: such nodes are in no cycle. Ends when that changes nothing or no scope
+    has more than `most` arcs; the second value is how many the largest scope has."""
+
+    def sizes() -> tuple[int, int]:
+        row = arcs.groupBy("scope").count().agg(F.sum("count"), F.max("count")).first()
+        return row[0] or 0, row[1] or 0
+
+    (n, largest), step = sizes(), 0
+    while largest > most:
         step += 1
         enters, leaves = arcs.select("scope", F.col("v").alias("u")).distinct(), arcs.select("scope", F.col("u").alias("v")).distinct()
         arcs = written(arcs.join(enters, ["scope", "u"], "left_semi").join(leaves, ["scope", "v"], "left_semi").select("scope", "u", "v"), folder, f"trim{turn}-{step}")
-        after = arcs.count()
+        after, largest = sizes()
         if after == n:
             break
         n = after
-    return arcs
+    return arcs, largest
 
 
-def coloured(arcs: DataFrame) -> DataFrame:
+def coloured(arcs: DataFrame, most: int = 0) -> DataFrame:
     """The same for graphs of any size. Every node takes the least label that reaches it; the nodes of one label that reach its root are a component; they leave,
-    with all arcs between labels, and what is left goes round again."""
+    with all arcs between labels, and what is left goes round again, until no scope has more than `most` arcs: those are walked."""
     folder, found, turn = shared_folder(arcs.sparkSession), None, 0
     left = written(arcs, folder, "arcs0")
     own = written(left.filter("u = v").select("scope", F.col("u").alias("node")), folder, "loops")
     left = left.filter("u <> v")
     while True:
         turn += 1
-        left = trimmed(left, folder, turn)
-        if left.isEmpty():
+        left, largest = trimmed(left, folder, turn, most)
+        if largest <= most:
+            if largest:
+                rest = written(walked(left).select("scope", "node", F.col("cycle_id").alias("label")), folder, "walked")
+                found = rest if found is None else found.unionByName(rest)
             break
         nodes = left.select("scope", F.col("u").alias("node")).unionByName(left.select("scope", F.col("v").alias("node"))).distinct()
         labels, step = written(nodes.withColumn("label", F.col("node")), folder, f"label{turn}-0"), 0
