@@ -35,3 +35,11 @@ def test_changes_go_out(spark, tmp_path):
     changes = streamed(spark, str(tmp_path), rows, [1, 2, 3, 4]).orderBy("change").collect()
     # approved, rejected, (a late one changes nothing), approved again, voided by a second event at one time
     assert [(c["approved"], c["approved_content_hash"]) for c in changes] == [(True, "h"), (False, None), (True, "g"), (False, None)]
+
+
+def test_states_are_made_by_spark(spark):
+    events = spark.createDataFrame([("d", "c", "t", "a", "h", at, "approved") for at in ("1", "2", "2", "")], EVENT)
+    held = spark.createDataFrame([("d", "c", False, "2", 1, "t", "a", "h", "approved", 4, True, True), ("d", "b", False, "2", 1, "t", "a", "h", "approved", 4, True, True)], journal.STATE)
+    state = journal.merged(journal.newest_events(events), held)
+    assert "Python" not in state._jdf.queryExecution().toString() and "Pandas" not in state._jdf.queryExecution().toString()
+    assert [(r["chunk_id"], r["void"], r["at"], r["n"], r["change"], r["approved"], r["changed"]) for r in state.collect()] == [("c", True, "2", 3, 5, False, True)]
