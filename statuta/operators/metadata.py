@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statuta.operators.numbering import running
+
 # How regulations and laws are named, and words that connect references of one source.
 OWN = ("규정", "지침", "내규", "정관", "세칙", "요령", "기준", "편람", "규칙", "예규")
 LAWS = ("시행규칙", "시행령", "시행규정", "법률", "법", "영", "령")
@@ -106,6 +108,18 @@ def in_spans(points: DataFrame, spans: DataFrame, key: str, at: str, begin: str,
     return points.withColumn("bucket", F.floor(F.col(at) / width)).join(cut, [key, "bucket"]).filter((F.col(at) >= F.col(begin)) & (F.col(at) <= F.col(end))).drop("bucket")
 
 
+def counted_in_spans(points: DataFrame, spans: DataFrame, key: str, at: str, begin: str, end: str, span: str) -> DataFrame:
+    """(span, n): how many points of its key each span (a name of its own, begin to end) holds, if any. The number of points up to its end less those before its
+    begin, from one running sum over each key, so points and spans do not meet pair by pair."""
+    mark = lambda df, pos, kind, n, name: df.select(key, F.col(pos).cast("long").alias("pos"), F.lit(kind).alias("kind"), n.cast("long").alias("n"), name.alias(span))
+    counts = points.groupBy(key, at).agg(F.count("*").alias("n"))
+    whole = spans.filter(F.col(begin) <= F.col(end))
+    none = F.lit(None).cast(dict(spans.dtypes)[span])
+    marks = mark(counts, at, 1, F.col("n"), none).unionByName(mark(whole, begin, 0, F.lit(0), F.col(span))).unionByName(mark(whole, end, 2, F.lit(0), F.col(span)))
+    sums = running(marks.filter(F.col("pos").isNotNull() & F.col(key).isNotNull()), [key], ["pos", "kind"], "n", "upto")
+    return sums.filter("kind <> 1").groupBy(span).agg(F.sum(F.when(F.col("kind") == 2, F.col("upto")).otherwise(-F.col("upto"))).alias("n")).filter("n > 0")
+
+
 def islands(rows: DataFrame, key: str, order: str, width: int = 65_536) -> DataFrame:
     """(key, first, last, n): runs of consecutive numbers. Runs are found within ranges of `width` numbers; only those that touch the end of their range, two
     a range at the most, are put together over the whole key."""

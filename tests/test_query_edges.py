@@ -1,7 +1,10 @@
 """Queries against their SQL on rows that the given tables do not have."""
 
+import random
+
 import duckdb
 
+from statuta.operators import metadata
 from statuta.plans import registry
 
 
@@ -31,3 +34,12 @@ def test_structure_nodes_of_odd_lines(spark, tmp_path):
 def test_version_diff_of_empty_texts_and_repeated_ids(spark, tmp_path):
     rows = [(1, ""), (2, "x"), (3, None), (5, ""), (7, ""), (8, "ab"), (8, "a"), (8, "abc"), (8, "abcd"), (8, None), (10, "a"), (10, "a"), (14, "b"), (14, ""), (35, ""), (None, ""), (9, "😀"), (11, "e\u0301")]
     same(spark, tmp_path, "version_diff", documents=(rows, DOCUMENTS))
+
+
+def test_counts_in_spans_without_pairs(spark):
+    r = random.Random(2)
+    points = [(r.randrange(3), r.randrange(40)) for _ in range(300)] + [(None, 3), (1, None)]
+    spans = [(r.randrange(4), i, r.randrange(45), r.randrange(45)) for i in range(60)]
+    got = metadata.counted_in_spans(spark.createDataFrame(points, "k int, at int"), spark.createDataFrame(spans, "k int, s int, a int, b int"), "k", "at", "a", "b", "s")
+    counts = {s: sum(p[0] == k and p[1] is not None and a <= p[1] <= b for p in points) for k, s, a, b in spans}
+    assert {x["s"]: x["n"] for x in got.collect()} == {s: n for s, n in counts.items() if n}
